@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -201,5 +202,35 @@ def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return with_spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` without the repeated passages of ``text`` (and ``n_chars``, where there is one, set to the new length).
+
+    Passages are those of ``dedup_report``, each within whole characters. A null text stays null. All other columns pass through.
+    """
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, start: pd.Series, stop: pd.Series) -> pd.Series:
+        def one(t, a, b):
+            if t is None or a is None or not len(a):
+                return t
+            data, spans = t.encode(), []
+            for x, y in zip(a, b, strict=True):
+                while x < len(data) and data[x] & 0xC0 == 0x80:
+                    x += 1
+                while y < len(data) and y > x and data[y] & 0xC0 == 0x80:
+                    y -= 1
+                spans.append({"start": int(x), "stop": int(y)})
+            return kept_bytes(data, spans).decode()
+
+        return pd.Series([one(*x) for x in zip(text, start, stop, strict=True)], dtype=object)
+
+    spans = repeated_spans(docs, length)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("r"), F.xxhash64(text).alias("k"), F.octet_length(text).alias("n")).join(spans, ["k", "n"], "left")
+    rows = rows.select("r", F.when(F.col("spans").isNull(), F.col("r.text").cast("string")).otherwise(cut(F.col("r.text").cast("string"), "spans.start", "spans.stop")).alias("new"))
+    new, kinds = {"text": F.col("new"), "n_chars": F.length("new")}, dict(docs.dtypes)
+    return rows.select(*[new[c].cast(kinds[c]).alias(c) if c in new else F.col(f"r.`{c}`") for c in docs.columns])
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))

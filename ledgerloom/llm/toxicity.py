@@ -12,6 +12,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -218,6 +219,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"), "n_passages")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores under ``threshold``, with all columns; null and empty texts are scored as such."""
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series([model.score((t or "").encode()) for t in text], dtype="float64")
+
+    return docs.where(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return scored(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
