@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -26,9 +27,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written once to the shared folder and read back, so that lost executors never replay what came before."""
-    path = new_folder(df.sparkSession, label)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Deletes written tables that nothing will read again, and lets Spark drop the shuffles of finished queries, which it does when the
+    driver's garbage is collected."""
+    for df in done:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -59,10 +71,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al. (2014). Each step is an aggregation with a map-side part
     and an equi-join that skew handling can split; every round is written to the shared folder. Self loops are allowed.
     """
+    spark = edges.sparkSession
     proper = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     current = written(proper.distinct(), "cc")
     before = None
     for _ in range(rounds):
+        last = current
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -70,6 +84,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         current = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        release(spark, last, large)
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

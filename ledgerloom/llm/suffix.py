@@ -4,11 +4,11 @@ A suffix array to the depth of ``length`` bytes would sort every position; here
 Each window of ``length`` bytes owns one anchor, the q-gram in it with the least hash (the leftmost of equals), which depends on nothing
 outside the window: equal windows have equal anchors at equal offsets. So
 
-1. the anchors, about two of a hundred positions, are dealt into initial q-gram buckets; buckets of one end there;
+1. the anchors, one or two of a hundred positions, are dealt into initial q-gram buckets; buckets of one end there;
 2. a bucket is refined by the identifiers of later offsets: the segment hash of an anchor stands for all the windows that own it. If a
    segment identifier comes twice, all its windows repeat, and it ends there;
-3. where a bucket holds different segments, they are refined to single offsets: one segment of each identifier gives the identifiers
-   of its windows, each made from those of its q-grams by doubling, and equal ones repeat.
+3. a bucket of different segments is refined by the bytes to half a window before and behind its anchor, one of which is in every window;
+4. where those are in different segments, the windows they are in are refined to single offsets, and equal ones repeat.
 
 Counts are combined before every shuffle, and joins are plain equi-joins, so that neither hot passages nor groups of copies meet in one task.
 """
@@ -20,7 +20,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import byte_values, written
@@ -78,83 +78,100 @@ def leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(text: bytes, length: int = LENGTH, q: int = Q):
-    """Anchors of a text: bucket (hash of the q-gram), segment identifier, first and last window start of each."""
+    """The anchors of a text: bucket (hash of the q-gram), segment identifier, hashes to half a window before and behind (0: outside
+    the text), and first window start, anchor and last window start in one number each."""
     hashes = Hashes(text)
     grams = hashes.grams(q)
     at = leftmost_least(grams, length - q + 1)
     first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
     last = np.append(first[1:], len(at)) - 1
-    return grams[at[first]].view(np.int64), hashes.ranges(first, last + length).view(np.int64), first, last
+    a, half = at[first], (length - q) // 2
+    before = np.where(a >= half, hashes.ranges(np.maximum(a - half, 0), a + q), np.uint64(0))
+    behind = np.where(a + q + half <= hashes.n, hashes.ranges(a, np.minimum(a + q + half, hashes.n)), np.uint64(0))
+    return grams[a].view(np.int64), hashes.ranges(first, last + length).view(np.int64), before.view(np.int64), behind.view(np.int64), first << 16 | (a - first) << 8 | (last - first)
 
 
-def windows(text: bytes, first: int, last: int, length: int, hashes: Hashes | None = None) -> np.ndarray:
-    start = np.arange(first, last + 1)
-    return (hashes or Hashes(text)).ranges(start, start + length).view(np.int64)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the text's key: equal texts have equal results, so that a text stands for its row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumns({"k": F.xxhash64("text"), "n": F.octet_length("text")})
+def _key(text: str | Column) -> Column:
+    """Equal texts have equal results, so that a text stands for its row."""
+    return F.xxhash64(text, F.octet_length(text))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
-    """Columns k, n (the key of a text), spans (array of start, stop in bytes, may overlap) of texts with repeated windows."""
-    texts = _keyed(docs).where(F.col("n") >= length)
+    """Columns k (the key of a text), spans (array of start, stop in bytes, in order, apart) of texts with repeated windows."""
+    if not q <= length <= q + 254:
+        raise ValueError("length must be from q to q + 254")
+    spark, half = docs.sparkSession, (length - q) // 2
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
+    texts = texts.select(_key("text").alias("k"), "text")
 
     def anchors(batches):
         for b in batches:
-            out = []
-            for k, n, text in zip(b.column("k").to_pylist(), b.column("n").to_pylist(), byte_values(b.column("text")), strict=True):
-                bucket, seg, first, last = segments(text, length, q)
-                m = len(bucket)
-                out.append((bucket, seg, np.full(m, k, np.int64), np.full(m, n, np.int64), first << 16 | (last - first)))
-                if sum(len(o[0]) for o in out[-64:]) > 200_000:
-                    yield _table(out, ["b", "s", "k", "n", "at"])
-                    out = []
+            out, m = [], 0
+            for k, text in zip(b.column("k").to_pylist(), byte_values(b.column("text")), strict=True):
+                own = segments(text, length, q)
+                out.append((*own, np.full(len(own[0]), k, np.int64)))
+                m += len(own[0])
+                if m > 100_000:
+                    yield _table(out, ["b", "s", "l", "r", "at", "k"])
+                    out, m = [], 0
             if out:
-                yield _table(out, ["b", "s", "k", "n", "at"])
+                yield _table(out, ["b", "s", "l", "r", "at", "k"])
 
-    found = texts.select("k", "n", "text").mapInArrow(anchors, "b long, s long, k long, n long, at long")
+    found = texts.select("k", "text").mapInArrow(anchors, "b long, s long, l long, r long, at long, k long")
     buckets = found.groupBy("b").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi"))
-    buckets = buckets.where("c > 1").select("b", (F.col("lo") != F.col("hi")).alias("varied"))
+    buckets = written(buckets.where("c > 1").select("b", (F.col("lo") != F.col("hi")).alias("varied")), "buckets")
+    release(spark)
     live = written(found.join(buckets, "b"), "anchors")
-    # Whole segments that come twice; segments of varied buckets, to be refined.
-    same = live.groupBy("b", "s").agg(F.count("*").alias("c"))
-    state = live.join(same, ["b", "s"])
-    whole = state.where("c > 1").select("k", "n", "at").distinct()
-    asked = state.where("varied").groupBy("k", "n").agg(F.collect_set(F.struct("at", "s")).alias("asked"))
+    release(spark, buckets)
+    varied = live.where("varied")
+    ahead, behind = (varied.where(f"{c} <> 0").groupBy(c).agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select(c, F.lit(True).alias(f"has_{c}")) for c in "lr")
+    asked = varied.join(ahead, "l", "left").join(behind, "r", "left").where("has_l or has_r")
+    asked = asked.groupBy("k").agg(F.collect_set(F.struct("at", "s", F.coalesce("has_l", F.lit(False)).alias("l"), F.coalesce("has_r", F.lit(False)).alias("r"))).alias("asked"))
+    asked = written(asked, "asked")
+    release(spark)
 
     def enumerate_windows(batches):
         before = None
         for b in batches:
-            for k, n, text, asked_ in zip(b.column("k").to_pylist(), b.column("n").to_pylist(), byte_values(b.column("text")), b.column("asked").to_pylist(), strict=True):
-                if (k, n) == before:  # rows come in order of k, so that of a run of copies one is enough
+            out = []
+            for k, text, own in zip(b.column("k").to_pylist(), byte_values(b.column("text")), b.column("asked").to_pylist(), strict=True):
+                if k == before:  # rows come in order of k, so that of a run of copies one is enough
                     continue
-                before, hashes = (k, n), Hashes(text)
-                out = []
-                for x in asked_:
-                    first, m = x["at"] >> 16, (x["at"] & 0xFFFF) + 1
-                    out.append((windows(text, first, first + m - 1, length, hashes), np.full(m, x["s"], np.int64), np.full(m, k, np.int64), np.full(m, n, np.int64), np.arange(first, first + m)))
-                yield _table(out, ["w", "s", "k", "n", "at"])
-
-    refined = texts.select("k", "n", "text").join(asked, ["k", "n"]).sortWithinPartitions("k", "n")
-    refined = written(refined.mapInArrow(enumerate_windows, "w long, s long, k long, n long, at long"), "windows")
+                before, hashes = k, Hashes(text)
+                for x in own:
+                    first, a, last = x["at"] >> 16, (x["at"] >> 16) + (x["at"] >> 8 & 0xFF), (x["at"] >> 16) + (x["at"] & 0xFF)
+                    lo, hi = (first if x["l"] else max(first, a - half + 1)), (last if x["r"] else min(last, a - half))
+                    if lo <= hi:
+                        start = np.arange(lo, hi + 1)
+                        out.append((hashes.ranges(start, start + length).view(np.int64), np.full(len(start), x["s"], np.int64), start, np.full(len(start), k, np.int64)))
+                if len(out) > 1000:
+                    yield _table(out, ["w", "s", "at", "k"])
+                    out = []
+            if out:
+                yield _table(out, ["w", "s", "at", "k"])
+
+    refined = texts.join(asked, "k").select("k", "text", "asked").sortWithinPartitions("k")
+    refined = written(refined.mapInArrow(enumerate_windows, "w long, s long, at long, k long"), "windows")
+    release(spark, asked)
     twice = refined.groupBy("w").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("w")
-    single = refined.join(twice, "w", "left_semi").select("k", "n", F.shiftleft("at", 16).alias("at")).distinct()
-    spans = whole.unionByName(single).groupBy("k", "n").agg(F.collect_set("at").alias("at"))
+    single = refined.join(twice, "w", "left_semi").select("k", F.shiftleft("at", 16).alias("at")).distinct()
+    same = live.groupBy("b", "s").agg(F.count("*").alias("c")).where("c > 1").select("b", "s")
+    whole = live.join(same, ["b", "s"], "left_semi").select("k", "at").distinct()
+    spans = whole.unionByName(single).groupBy("k").agg(F.collect_set("at").alias("at"))
 
     def merged(batches):
         for b in batches:
             rows = []
             for at in b.column("at"):
                 v = np.sort(at.values.to_numpy())
-                s, e = merge(v >> 16, (v >> 16) + (v & 0xFFFF) + length)
+                s, e = merge(v >> 16, (v >> 16) + (v & 0xFF) + length)
                 rows.append([{"start": int(x), "stop": int(y)} for x, y in zip(s, e, strict=True)])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("n"), pa.array(rows, kind)], ["k", "n", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(rows, kind)], ["k", "spans"])
 
-    return spans.mapInArrow(merged, "k long, n long, spans array<struct<start: long, stop: long>>")
+    out = written(spans.mapInArrow(merged, "k long, spans array<struct<start: long, stop: long>>"), "spans")
+    release(spark, live, refined)
+    return out
 
 
 def _table(out: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -178,8 +195,8 @@ def kept_bytes(text: bytes, spans) -> bytes:
 
 def with_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """doc_id, text (null: empty) and spans (null: none), one row per row of ``docs``."""
-    spans = repeated_spans(docs, length, q)
-    return _keyed(docs).join(spans, ["k", "n"], "left").select("doc_id", "text", "spans")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("k", _key("text")).join(repeated_spans(docs, length, q), "k", "left").select("doc_id", "text", "spans")
 
 
 def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -226,7 +243,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     spans = repeated_spans(docs, length)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("r"), F.xxhash64(text).alias("k"), F.octet_length(text).alias("n")).join(spans, ["k", "n"], "left")
+    rows = docs.select(F.struct("*").alias("r"), _key(text).alias("k")).join(spans, "k", "left")
     rows = rows.select("r", F.when(F.col("spans").isNull(), F.col("r.text").cast("string")).otherwise(cut(F.col("r.text").cast("string"), "spans.start", "spans.stop")).alias("new"))
     new, kinds = {"text": F.col("new"), "n_chars": F.length("new")}, dict(docs.dtypes)
     return rows.select(*[new[c].cast(kinds[c]).alias(c) if c in new else F.col(f"r.`{c}`") for c in docs.columns])
