@@ -125,8 +125,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     release(spark, buckets)
     varied = live.where("varied")
     ahead, behind = (varied.where(f"{c} <> 0").groupBy(c).agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select(c, F.lit(True).alias(f"has_{c}")) for c in "lr")
-    asked = varied.join(ahead, "l", "left").join(behind, "r", "left").where("has_l or has_r")
-    asked = asked.groupBy("k").agg(F.collect_set(F.struct("at", "s", F.coalesce("has_l", F.lit(False)).alias("l"), F.coalesce("has_r", F.lit(False)).alias("r"))).alias("asked"))
+    # One place of each segment stands for it; only segments that come once still need their windows looked up.
+    place = varied.groupBy("s").agg(F.count("*").alias("c"), F.min("l").alias("l"), F.min("r").alias("r"), F.min(F.struct("k", "at")).alias("p"))
+    asked = place.join(ahead, "l", "left").join(behind, "r", "left").where("has_l or has_r")
+    asked = asked.select("s", "p.k", "p.at", (F.col("c") == 1).alias("once"), F.coalesce("has_l", F.lit(False)).alias("l"), F.coalesce("has_r", F.lit(False)).alias("r"))
     asked = written(asked, "asked")
     release(spark)
 
@@ -143,21 +145,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
                     lo, hi = (first if x["l"] else max(first, a - half + 1)), (last if x["r"] else min(last, a - half))
                     if lo <= hi:
                         start = np.arange(lo, hi + 1)
-                        out.append((hashes.ranges(start, start + length).view(np.int64), np.full(len(start), x["s"], np.int64), start, np.full(len(start), k, np.int64)))
+                        out.append((hashes.ranges(start, start + length).view(np.int64), np.full(len(start), x["s"], np.int64), start - first, np.full(len(start), x["once"])))
                 if len(out) > 1000:
-                    yield _table(out, ["w", "s", "at", "k"])
+                    yield _table(out, ["w", "s", "d", "once"])
                     out = []
             if out:
-                yield _table(out, ["w", "s", "at", "k"])
+                yield _table(out, ["w", "s", "d", "once"])
 
-    refined = texts.join(asked, "k").select("k", "text", "asked").sortWithinPartitions("k")
-    refined = written(refined.mapInArrow(enumerate_windows, "w long, s long, at long, k long"), "windows")
-    release(spark, asked)
+    def runs_of(batches):
+        """Runs of window starts as first and number of more."""
+        for b in batches:
+            out = []
+            for seg, d in zip(b.column("s").to_pylist(), b.column("d"), strict=True):
+                v = np.sort(d.values.to_numpy())
+                first = np.nonzero(np.concatenate([[True], v[1:] != v[:-1] + 1]))[0]
+                out.append((np.full(len(first), seg, np.int64), v[first], v[np.append(first[1:], len(v)) - 1] - v[first]))
+            if out:
+                yield _table(out, ["s", "d", "m"])
+
+    of_text = asked.groupBy("k").agg(F.collect_list(F.struct("at", "s", "once", "l", "r")).alias("asked"))
+    refined = texts.join(of_text, "k").select("k", "text", "asked").sortWithinPartitions("k")
+    refined = written(refined.mapInArrow(enumerate_windows, "w long, s long, d long, once boolean"), "windows")
+    release(spark)
     twice = refined.groupBy("w").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("w")
-    single = refined.join(twice, "w", "left_semi").select("k", F.shiftleft("at", 16).alias("at")).distinct()
+    single = refined.where("once").join(twice, "w", "left_semi").groupBy("s").agg(F.collect_list("d").alias("d"))
+    runs = single.mapInArrow(runs_of, "s long, d long, m long").join(asked.where("once").select("s", "k", "at"), "s")
+    runs = runs.select("k", ((F.shiftright("at", 16) + F.col("d")) * F.lit(1 << 16) + F.col("m")).alias("at"))
     same = live.groupBy("b", "s").agg(F.count("*").alias("c")).where("c > 1").select("b", "s")
     whole = live.join(same, ["b", "s"], "left_semi").select("k", "at").distinct()
-    spans = whole.unionByName(single).groupBy("k").agg(F.collect_set("at").alias("at"))
+    spans = whole.unionByName(runs).groupBy("k").agg(F.collect_set("at").alias("at"))
 
     def merged(batches):
         for b in batches:
@@ -170,7 +186,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(rows, kind)], ["k", "spans"])
 
     out = written(spans.mapInArrow(merged, "k long, spans array<struct<start: long, stop: long>>"), "spans")
-    release(spark, live, refined)
+    release(spark, live, asked, refined)
     return out
 
 
