@@ -168,7 +168,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     refined = written(refined.mapInArrow(enumerate_windows, "w long, s long, d long, once boolean"), "windows")
     release(spark)
     twice = refined.groupBy("w").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("w")
+    twice = written(twice, "twice")
+    release(spark)
     single = refined.where("once").join(twice, "w", "left_semi").groupBy("s").agg(F.collect_list("d").alias("d"))
+    single = written(single, "single")
+    release(spark, refined, twice)
     runs = single.mapInArrow(runs_of, "s long, d long, m long").join(asked.where("once").select("s", "k", "at"), "s")
     runs = runs.select("k", ((F.shiftright("at", 16) + F.col("d")) * F.lit(1 << 16) + F.col("m")).alias("at"))
     same = live.groupBy("b", "s").agg(F.count("*").alias("c")).where("c > 1").select("b", "s")
@@ -186,7 +190,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(rows, kind)], ["k", "spans"])
 
     out = written(spans.mapInArrow(merged, "k long, spans array<struct<start: long, stop: long>>"), "spans")
-    release(spark, live, asked, refined)
+    release(spark, live, asked, single)
     return out
 
 
