@@ -28,7 +28,7 @@ from .shared import byte_values
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Chunks remembered by one encoder; characters from which a chunk is encoded as a tree, and in a leaf of it.
-REMEMBERED, LONG, LEAF = 1 << 18, 8192, 2048
+REMEMBERED, LONG, LEAF = 1 << 20, 8192, 2048
 _UNSAFE = re.compile(r" \s|\s |\A | \Z")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -102,47 +102,96 @@ class TreeEncoder:
         return out
 
 
+class Memory(dict):
+    """What chunks gave, for the newest ``size`` chunks at least that were new or used: two generations, of which the older is dropped."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size // 2, {}
+
+    def __missing__(self, chunk):
+        self[chunk] = value = self.old[chunk]
+        return value
+
+    def missing(self, chunks) -> list:
+        return [c for c in chunks if c not in self and c not in self.old]
+
+    def grow(self, values: dict) -> None:
+        if len(self) + len(values) > self.size:
+            self.old = dict(self)
+            self.clear()
+        self.update(values)
+
+
 class Encoder:
-    """Encodes whole texts; ``value`` turns the ids of a chunk into what is remembered and given back for it."""
+    """Encodes whole texts; ``value`` turns the ids of a chunk into what is remembered and given back for it, ``add`` joins two of them."""
 
-    def __init__(self, path: str, value: Callable[[list[int]], object], long: int = LONG, remembered: int = REMEMBERED):
-        self.t, self.value, self.long, self.remembered = tokenizer(path), value, long, remembered
+    def __init__(self, path: str, value: Callable[[list[int]], object], add: Callable = lambda a, b: a + b, long: int = LONG, remembered: int = REMEMBERED):
+        self.t, self.value, self.add, self.long = tokenizer(path), value, add, long
         self.byte_level = self.t.normalizer is None
         self.tree = TreeEncoder(path) if self.byte_level else None
-        self.known: dict = {}
-        self.spaced: dict = {}
+        self.known = Memory(remembered)
 
-    def learn(self, table: dict, chunks: set, lead: str) -> None:
-        if len(table) + len(chunks) > self.remembered:
-            table.clear()
-        fresh = [c for c in chunks if c not in table]
+    def learn(self, chunks: list) -> None:
+        """Remembers the values of chunks. A comma or full stop after a letter at the end of a chunk is always a piece of its own, as a chunk is
+        followed by white space or the end; so the rest of the chunk may be known already."""
+        stems = [c[:-1] if len(c) > 1 and c[-1:] in self.marks and c[-2:-1].isalpha() and c[-2:-1].isascii() else c for c in chunks]
+        fresh = self.known.missing(dict.fromkeys([*stems, *self.marks]))
         short = [c for c in fresh if len(c) <= self.long or not self.byte_level]
-        as_text = [lead + c for c in short] if self.byte_level else [c.decode() for c in short]
+        got: dict = {}
         for at in range(0, len(short), 20_000):
-            for c, e in zip(short[at : at + 20_000], self.t.encode_batch_fast(as_text[at : at + 20_000], add_special_tokens=False), strict=True):
-                table[c] = self.value(e.ids)
+            part = short[at : at + 20_000]
+            for c, e in zip(part, self.t.encode_batch_fast(part if self.byte_level else [c.decode() for c in part], add_special_tokens=False), strict=True):
+                got[c] = self.value(e.ids)
         for c in fresh:
-            if c not in table:
-                table[c] = self.value(self.tree.encode(lead + c))
-
-    def look_up(self, table: dict, chunks: list, lead: str = "") -> list:
-        try:
-            return [table[c] for c in chunks]
-        except KeyError:
-            self.learn(table, set(chunks) if len(table) + len(chunks) > self.remembered else {c for c in chunks if c not in table}, lead)
-            return [table[c] for c in chunks]
-
-    def encode(self, text: bytes) -> list:
-        """The values of the chunks of a text (UTF-8), in order; none for an empty text."""
+            if c not in got:
+                got[c] = self.value(self.tree.encode(c))
+        known = self.known
+        for c, stem in zip(chunks, stems, strict=True):
+            if c is not stem:
+                mark = c[-1:]
+                got[c] = self.add(got[stem] if stem in got else known[stem], got[mark] if mark in got else known[mark])
+        known.grow(got)
+
+    @property
+    def marks(self) -> tuple:
+        return (",", ".") if self.byte_level else (b",", b".")
+
+    def chunks(self, text: bytes) -> list:
         if not self.byte_level:
-            return self.look_up(self.known, text.split())
+            # Lower case is part of these files' normalization; only special tokens are found before it.
+            return (text if b"<|" in text else text.lower()).split()
         if not text:
             return []
         s = text.decode()
         if _UNSAFE.search(s):
-            return self.look_up(self.known, _SAFE_CUT.split(s))
+            return _SAFE_CUT.split(s)
         first, *rest = s.split(" ")
-        return self.look_up(self.known, [first]) + self.look_up(self.spaced, rest, " ")
+        return [first, *[" " + c for c in rest]]
+
+    def encode(self, text: bytes) -> list:
+        """The values of the chunks of a text (UTF-8), in order; none for an empty text."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[bytes], group: int = 1 << 20):
+        """``encode`` of each text in turn; new chunks of about ``group`` bytes of texts are encoded together."""
+        held, n = [], 0
+        for i, text in enumerate(texts):
+            held.append(self.chunks(text))
+            n += len(text)
+            if n > group or i + 1 == len(texts):
+                new = set()
+                for c in held:
+                    new.update(c)
+                if new := self.known.missing(new):
+                    self.learn(new)
+                for c in held:
+                    try:
+                        yield list(map(self.known.__getitem__, c))
+                    except KeyError:  # dropped meanwhile
+                        self.learn(self.known.missing(dict.fromkeys(c)))
+                        yield list(map(self.known.__getitem__, c))
+                held, n = [], 0
 
 
 @lru_cache(maxsize=4)
@@ -155,7 +204,7 @@ def _digest_encoder(path: str) -> Encoder:
     def spelled(i: int) -> bytes:
         return special[i] if i in special else bytes(back[c] for c in t.id_to_token(i))
 
-    return Encoder(path, lambda ids: (",".join(map(str, ids)).encode(), len(ids), b"".join(map(spelled, ids))))
+    return Encoder(path, lambda ids: (",".join(map(str, ids)).encode(), len(ids), b"".join(map(spelled, ids))), lambda a, b: (a[0] + b"," + b[0], a[1] + b[1], a[2] + b[2]), remembered=1 << 19)
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
@@ -169,8 +218,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         encoder = _digest_encoder(path)
         for b in batches:
             n, ids, decoded = [], [], []
-            for text in byte_values(b.column("text")):
-                chunks = encoder.encode(text)
+            for chunks in encoder.encode_all(byte_values(b.column("text"))):
                 n.append(sum(c[1] for c in chunks))
                 ids.append(hashlib.sha256(b",".join([c[0] for c in chunks])).hexdigest())
                 decoded.append(hashlib.sha256(b"".join([c[2] for c in chunks]).decode(errors="replace").encode()).hexdigest())

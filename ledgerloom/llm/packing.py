@@ -38,8 +38,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SEQUEN
         encoder, end = id_encoder(tokenizer_path, "<u4"), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), byte_values(b.column("text")), strict=True):
-                ids = b"".join([*encoder.encode(text), end])
+            for doc, chunks in zip(b.column("doc_id").to_pylist(), encoder.encode_all(byte_values(b.column("text"))), strict=True):
+                ids = b"".join([*chunks, end])
                 rows += [(doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, size))]
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

@@ -142,8 +142,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 doc_ids = b.column("doc_id")
                 nulls += doc_ids.null_count
                 ids.append(np.array(doc_ids.drop_null().to_numpy(zero_copy_only=False), np.int64))
-                for text in byte_values(b.column("text")):
-                    data = b"".join([*encoder.encode(text), end])
+                for chunks in encoder.encode_all(byte_values(b.column("text"))):
+                    data = b"".join([*chunks, end])
                     f.write(data)
                     total += len(data) // width
                     bounds.append(total)
