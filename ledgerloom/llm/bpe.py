@@ -1,7 +1,7 @@
 """BPE encoding and decoding with the public tokenizer files.
 
 A text is cut where no token can cross: before a single space between non-space characters (byte-level files) or at ASCII white
-space (word files). Chunks are encoded by the tokenizers library and remembered, within a bound. A long chunk without such a place
+space (word files). Chunks are encoded by the tokenizers library, or from the rank file of the same vocabulary, and remembered, within a bound. A long chunk without such a place
 is encoded as a tree: its leaves at once on several threads, then pairs of neighbours are joined by encoding anew a growing window
 around the join until its first and last tokens agree with both sides. BPE is determined by its adjacent pairs, so agreement on one
 token at either end makes the joined ids exact.
@@ -9,17 +9,19 @@ token at either end makes the joined ids exact.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -29,7 +31,7 @@ from .shared import byte_values
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Chunks remembered by one encoder; characters from which a chunk is encoded as a tree, and in a leaf of it.
 REMEMBERED, LONG, LEAF = 1 << 20, 8192, 2048
-_UNSAFE = re.compile(r" \s|\s |\A | \Z")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -42,6 +44,17 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
+@lru_cache(maxsize=4)
+def ranks(path: str):
+    """The tiktoken encoding of the rank file beside a byte-level file, if there is one: the same vocabulary and merges, encoded faster."""
+    beside = path.removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(beside):
+        return None
+    with open(beside, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level files: itself if printable in Latin-1, else from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -130,44 +143,55 @@ class Encoder:
         self.t, self.value, self.add, self.long = tokenizer(path), value, add, long
         self.byte_level = self.t.normalizer is None
         self.tree = TreeEncoder(path) if self.byte_level else None
-        self.known = Memory(remembered)
-
-    def learn(self, chunks: list) -> None:
-        """Remembers the values of chunks. A comma or full stop after a letter at the end of a chunk is always a piece of its own, as a chunk is
-        followed by white space or the end; so the rest of the chunk may be known already."""
+        self.known, self.spaced = Memory(remembered // 2), Memory(remembered // 2)
+        self.ranks = ranks(path) if self.byte_level else None
+
+    def encoded(self, texts: list):
+        """Ids of short texts: by the rank file of the same vocabulary where there is one, but for what may hold a special token."""
+        if self.ranks is None:
+            return [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        one = self.ranks.encode_ordinary
+        return [one(t) if "<|" not in t else self.t.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def learn(self, known: Memory, chunks: list, lead: str = "") -> None:
+        """Remembers the values of chunks (with ``lead`` before each). A comma or full stop after a letter at the end of a chunk is always a
+        piece of its own, as a chunk is followed by white space or the end; so the rest of the chunk may be known already."""
         stems = [c[:-1] if len(c) > 1 and c[-1:] in self.marks and c[-2:-1].isalpha() and c[-2:-1].isascii() else c for c in chunks]
-        fresh = self.known.missing(dict.fromkeys([*stems, *self.marks]))
+        fresh = known.missing(dict.fromkeys(stems))
         short = [c for c in fresh if len(c) <= self.long or not self.byte_level]
         got: dict = {}
         for at in range(0, len(short), 20_000):
             part = short[at : at + 20_000]
-            for c, e in zip(part, self.t.encode_batch_fast(part if self.byte_level else [c.decode() for c in part], add_special_tokens=False), strict=True):
-                got[c] = self.value(e.ids)
+            for c, ids in zip(part, self.encoded([lead + c for c in part] if self.byte_level else [c.decode() for c in part]), strict=True):
+                got[c] = self.value(ids)
         for c in fresh:
             if c not in got:
-                got[c] = self.value(self.tree.encode(c))
-        known = self.known
+                got[c] = self.value(self.tree.encode(lead + c))
+        if self.mark is None:
+            self.mark = dict(zip(self.marks, map(self.value, self.encoded([",", "."])), strict=True))
         for c, stem in zip(chunks, stems, strict=True):
             if c is not stem:
-                mark = c[-1:]
-                got[c] = self.add(got[stem] if stem in got else known[stem], got[mark] if mark in got else known[mark])
+                got[c] = self.add(got[stem] if stem in got else known[stem], self.mark[c[-1:]])
         known.grow(got)
 
+    mark = None
+
     @property
     def marks(self) -> tuple:
         return (",", ".") if self.byte_level else (b",", b".")
 
-    def chunks(self, text: bytes) -> list:
+    def chunks(self, text: bytes) -> tuple[list, list]:
+        """Chunks without and, after them, with a space before them (which is left out)."""
         if not self.byte_level:
             # Lower case is part of these files' normalization; only special tokens are found before it.
-            return (text if b"<|" in text else text.lower()).split()
+            return (text if b"<|" in text else text.lower()).split(), []
         if not text:
-            return []
+            return [], []
         s = text.decode()
-        if _UNSAFE.search(s):
-            return _SAFE_CUT.split(s)
+        if s[0] == " " or s[-1] == " " or "  " in s or " \n" in s or "\n " in s or _OTHER_SPACE.search(s):
+            return _SAFE_CUT.split(s), []
         first, *rest = s.split(" ")
-        return [first, *[" " + c for c in rest]]
+        return [first], rest
 
     def encode(self, text: bytes) -> list:
         """The values of the chunks of a text (UTF-8), in order; none for an empty text."""
@@ -180,19 +204,23 @@ class Encoder:
             held.append(self.chunks(text))
             n += len(text)
             if n > group or i + 1 == len(texts):
-                new = set()
-                for c in held:
-                    new.update(c)
-                if new := self.known.missing(new):
-                    self.learn(new)
-                for c in held:
-                    try:
-                        yield list(map(self.known.__getitem__, c))
-                    except KeyError:  # dropped meanwhile
-                        self.learn(self.known.missing(dict.fromkeys(c)))
-                        yield list(map(self.known.__getitem__, c))
+                for k, (known, lead) in enumerate(((self.known, ""), (self.spaced, " "))):
+                    new = set()
+                    for c in held:
+                        new.update(c[k])
+                    if new := known.missing(new):
+                        self.learn(known, new, lead)
+                for own, rest in held:
+                    yield self.look_up(self.known, own, "") + self.look_up(self.spaced, rest, " ")
                 held, n = [], 0
 
+    def look_up(self, known: Memory, chunks: list, lead: str) -> list:
+        try:
+            return list(map(known.__getitem__, chunks))
+        except KeyError:  # dropped meanwhile
+            self.learn(known, known.missing(dict.fromkeys(chunks)), lead)
+            return [known[c] for c in chunks]
+
 
 @lru_cache(maxsize=4)
 def _digest_encoder(path: str) -> Encoder:
@@ -231,7 +259,8 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 @lru_cache(maxsize=4)
 def id_encoder(path: str, dtype: str) -> Encoder:
     """An encoder that gives the ids of a chunk as little-endian bytes."""
-    return Encoder(path, lambda ids: np.array(ids, dtype).tobytes())
+    kind = {"<u2": "H", "<u4": "I"}[dtype]
+    return Encoder(path, lambda ids: struct.pack(f"<{len(ids)}{kind}", *ids))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
