@@ -153,7 +153,7 @@ class Encoder:
         one = self.ranks.encode_ordinary
         return [one(t) if "<|" not in t else self.t.encode(t, add_special_tokens=False).ids for t in texts]
 
-    def learn(self, known: Memory, chunks: list, lead: str = "") -> None:
+    def learn(self, known: Memory, chunks: list, lead: str = "") -> dict:
         """Remembers the values of chunks (with ``lead`` before each). A comma or full stop after a letter at the end of a chunk is always a
         piece of its own, as a chunk is followed by white space or the end; so the rest of the chunk may be known already."""
         stems = [c[:-1] if len(c) > 1 and c[-1:] in self.marks and c[-2:-1].isalpha() and c[-2:-1].isascii() else c for c in chunks]
@@ -173,6 +173,7 @@ class Encoder:
             if c is not stem:
                 got[c] = self.add(got[stem] if stem in got else known[stem], self.mark[c[-1:]])
         known.grow(got)
+        return got
 
     mark = None
 
@@ -218,8 +219,9 @@ class Encoder:
         try:
             return list(map(known.__getitem__, chunks))
         except KeyError:  # dropped meanwhile
-            self.learn(known, known.missing(dict.fromkeys(chunks)), lead)
-            return [known[c] for c in chunks]
+            have = {c: known[c] for c in dict.fromkeys(chunks) if c in known or c in known.old}
+            have |= self.learn(known, [c for c in dict.fromkeys(chunks) if c not in have], lead)
+            return [have[c] for c in chunks]
 
 
 @lru_cache(maxsize=4)
