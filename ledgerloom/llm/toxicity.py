@@ -46,9 +46,18 @@ class Model:
         # Every text is measured with the log-odds of the other folds, then the log-odds of all are kept.
         counts = [(Counter(), Counter()) for _ in range(FOLDS)]
         sizes = np.zeros((FOLDS, 2), int)
-        for i, (t, y) in enumerate(zip(texts, labels, strict=True)):
-            counts[i % FOLDS][y].update({k for w in set(words(t)) for k in tokens(w)})
-            sizes[i % FOLDS, y] += 1
+        # Toxic texts first: of the clean ones only the tokens that may get a weight are counted.
+        wanted: set[str] | None = None
+        for now in (1, 0):
+            for i, (t, y) in enumerate(zip(texts, labels, strict=True)):
+                if y == now:
+                    own = {k for w in set(words(t)) for k in tokens(w)}
+                    counts[i % FOLDS][y].update(own if wanted is None else own & wanted)
+                    sizes[i % FOLDS, y] += 1
+            if now:
+                whole: Counter = sum((c[1] for c in counts), Counter())
+                wanted = {k for k, n in whole.items() if n >= EVIDENCE}
+                counts = [(c[0], Counter({k: n for k, n in c[1].items() if k in wanted})) for c in counts]
         total = [sum((c[y] for c in counts), Counter()) for y in (0, 1)]
         walks: list[list[float]] = [[]] * len(texts)
         for f in range(FOLDS):
