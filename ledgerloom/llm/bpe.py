@@ -143,7 +143,7 @@ class Encoder:
         self.t, self.value, self.add, self.long = tokenizer(path), value, add, long
         self.byte_level = self.t.normalizer is None
         self.tree = TreeEncoder(path) if self.byte_level else None
-        self.known, self.spaced = Memory(remembered // 2), Memory(remembered // 2)
+        self.known, self.spaced = Memory(remembered // 4 if self.byte_level else remembered), Memory(remembered)
         self.ranks = ranks(path) if self.byte_level else None
 
     def encoded(self, texts: list):
