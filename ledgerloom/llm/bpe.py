@@ -265,5 +265,25 @@ def id_encoder(path: str, dtype: str) -> Encoder:
     return Encoder(path, lambda ids: struct.pack(f"<{len(ids)}{kind}", *ids))
 
 
+def evenly_spaced(text: str, long: int = LONG) -> bool:
+    """Whether no run of ``long`` characters is all white space or without a space: each half window has both."""
+    half = long // 2
+    return len(text) <= half or all(text.find(" ", i, i + half) >= 0 and not text[i : i + half].isspace() for i in range(0, len(text) - half + 1, half))
+
+
+@lru_cache(maxsize=4)
+def text_encoder(path: str) -> Callable[[bytes], bytes]:
+    """From a whole text to its ids, as little-endian unsigned 32-bit integers: at once from the rank file where there is one, and through
+    chunks and trees for texts with long runs or what may be a special token."""
+    chunked = id_encoder(path, "<u4")
+
+    def ids(text: bytes) -> bytes:
+        if chunked.ranks is not None and b"<|" not in text and evenly_spaced(t := text.decode()):
+            return chunked.ranks.encode_to_numpy(t, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return b"".join(chunked.encode(text))
+
+    return ids
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(BYTE_BPE))

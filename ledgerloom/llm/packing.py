@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import BYTE_BPE, id_encoder
+from .bpe import BYTE_BPE, text_encoder
 from .shared import byte_values, written
 
 SEQUENCE, SHARD = 2048, 4096
@@ -35,11 +35,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SEQUEN
     """Columns doc_id, piece, start, length, ids_crc32 of every whole text (null: empty), each ended by ``end_id``."""
 
     def run(batches):
-        encoder, end = id_encoder(tokenizer_path, "<u4"), np.array([end_id], "<u4").tobytes()
+        encode, end = text_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, chunks in zip(b.column("doc_id").to_pylist(), encoder.encode_all(byte_values(b.column("text"))), strict=True):
-                ids = b"".join([*chunks, end])
+            for doc, text in zip(b.column("doc_id").to_pylist(), byte_values(b.column("text")), strict=True):
+                ids = encode(text) + end
                 rows += [(doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, size))]
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

@@ -175,6 +175,20 @@ def test_encoder_equals_library(name):
         assert [i for c in got for i in c] == t.encode(x, add_special_tokens=False).ids
 
 
+def test_text_encoder_equals_library():
+    rng = random.Random(11)
+    texts = ["", " ", "a" * 9000, " " * 9000 + "x", "é" * 5000, "日本語 " * 4000, "日本語" * 4000, "a" * 3000 + " " + "b" * 6000, "x<|endoftext|> y"]
+    texts += ["".join(rng.choice(["a", "b", " ", "  ", "\n", "é", "日", "1", "'s", ".", "<|", "😀", "\u0301"]) for _ in range(n)) for n in (5, 50, 500, 9000) * 20]
+    t, one = Tokenizer.from_file(P.path(bpe.BYTE_BPE)), bpe.text_encoder(P.path(bpe.BYTE_BPE))
+    for x in texts:
+        assert np.frombuffer(one(x.encode()), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_runs_end_direct_encoding():
+    for text, want in (("a" * 99, False), ("ab " * 50, True), ("ab " * 50 + "c" * 8, False), ("ab " * 50 + " " * 8, False), ("abc", True)):
+        assert bpe.evenly_spaced(text, 8) == want, text
+
+
 def test_encode_decode(spark, hard, docs):
     t = Tokenizer.from_file(P.path(bpe.BYTE_BPE))
     want = Counter()
