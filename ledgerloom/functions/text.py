@@ -28,9 +28,9 @@ def open_loop_hints(user: Column, assistant: Column, question: str = "?") -> Col
     return F.array_compact(
         F.array(
             F.when(F.endswith(tail(user), F.lit(question)), F.lit("ends_with_question")),
-            F.when(F.endswith(tail(assistant), F.lit(question)), F.lit("unresolved_assistant_q")),
             F.when(both.rlike(r"(?<![A-Za-z0-9_])(?:TODO|FIXME)(?![A-Za-z0-9_])"), F.lit("contains_todo")),
-            F.when(both.rlike(r"(?i)(?<![A-Za-z0-9_])follow(?:ing)?[- ]?up(?![A-Za-z0-9_])"), F.lit("explicit_followup")),
+            F.when(F.endswith(tail(assistant), F.lit(question)), F.lit("unresolved_assistant_q")),
+            F.when(both.rlike(r"(?i)(?<![A-Za-z0-9_])(?:follow up|will do later|come back to)(?![A-Za-z0-9_])"), F.lit("explicit_followup")),
         )
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..operators import clusters, groups, topology, turns
 from ..sources import ledger as L
+from . import normalization
 
 T0, T1 = datetime(2024, 1, 5), datetime(2024, 1, 12)
 GAP_HOURS = 4.0
@@ -222,6 +223,7 @@ def _catalogue() -> dict:
     q["credential_scrub"] = (lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", paths.scrub_credentials(F.regexp_replace("url", "^(https?://)", "$1user:pw@")).alias("url"))), "SELECT page_id, url FROM pages"
     q["payload_hash"] = (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("bigint").alias("n_bytes"))), "SELECT doc_id, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents"
     q["clip_payload"] = (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", text.clip_bytes(F.col("text"), 2000).alias("clip"))), None
+    q |= normalization.catalogue(_pairs, PAIRS_SQL)
     return q
 
 
