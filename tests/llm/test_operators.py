@@ -294,3 +294,38 @@ def test_toxicity_held_out(spark):
     held = [r for r in out if r.held_out and r.doc_id is not None and r.doc_id < 600]
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.95 * len(held)
     assert len(out) == 602 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_byte_weights_learn_from_every_word(spark):
+    rng = random.Random(12)
+    made = list({"".join(rng.choice("abcdeé") for _ in range(rng.randrange(6, 14))).encode() for _ in range(40_000)})
+    df = spark.createDataFrame([(w,) for w in made], "word binary").coalesce(1)
+    bits = 8 * sum(len(w) + 1 for w in made)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        models = []
+        for size in (700, 30_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            models.append(mixing.fit_bytes(spark, df))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [m.refined.sum() for m in models] == [bits, bits]
+    assert np.allclose(models[0].weights, models[1].weights)
+
+
+def test_equal_bits_learn_as_one():
+    made = [b"abab", b"abac", b"b"] * 50
+    slots, bits, _ = mixing.word_bits(made)
+    counts = np.zeros((mixing.STARTS[-1], 2), np.float32)
+    for y in (0, 1):
+        counts[:, y] = np.bincount(slots[bits == y].ravel(), minlength=len(counts))
+    model = mixing.ByteModel(counts)
+    x, gate = model.inputs(slots, bits)
+    n = counts[slots]
+    n[np.arange(len(bits)), :, bits] -= 1
+    assert np.allclose(x, np.log((n[:, :, 1] + 0.02) / (n[:, :, 0] + 0.02)), atol=1e-5)
+    p, seen, want = model.mixed(x, gate), np.bincount(gate, minlength=20) + 1.0, model.weights.copy()
+    for i in range(4):
+        power = np.bincount(gate, x[:, i] ** 2, 20) / seen + 1.0
+        want[:, i] += 0.5 * np.bincount(gate, (bits - p) * x[:, i], 20) / seen / power * (seen > 20)
+    assert model.learn(made, 0.5) == len(bits) and np.allclose(model.weights, want) and model.refined.sum() == len(bits)
