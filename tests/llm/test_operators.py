@@ -329,3 +329,16 @@ def test_equal_bits_learn_as_one():
         power = np.bincount(gate, x[:, i] ** 2, 20) / seen + 1.0
         want[:, i] += 0.5 * np.bincount(gate, (bits - p) * x[:, i], 20) / seen / power * (seen > 20)
     assert model.learn(made, 0.5) == len(bits) and np.allclose(model.weights, want) and model.refined.sum() == len(bits)
+
+
+def test_kinds_come_from_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SAMPLE", 12)
+    rng = random.Random(13)
+    tongues = [[f"{c}{i}" for i in range(40)] for c in "xyz"]
+    texts = [" ".join(rng.choices(tongues[k], k=n)) for k, n, times in ((0, 60, 150), (1, 60, 20), (2, 30_000, 6)) for _ in range(times)]
+    assert max(map(len, texts)) > 1 << 16
+    heads = [w.encode() for t in tongues for w in t]
+    head = mixing.Head(heads, mixing.kinds_of_text(spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string"), heads))
+    kinds = [{int(head.walk(" ".join(rng.choices(t, k=40)).encode())[0][-1]) for _ in range(20)} for t in tongues]
+    assert not (kinds[0] & kinds[1] or kinds[0] & kinds[2] or kinds[1] & kinds[2])
+    assert not mixing.kinds_of_text(spark.createDataFrame([], "text string"), []).any()
