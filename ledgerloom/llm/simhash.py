@@ -18,14 +18,26 @@ DIRECT_RUN = 2048
 
 def fingerprints(text: bytes, words: int = 3, seed: int = 42, extra: int = 0) -> list[int]:
     """The 64-bit SimHash of the shingles of a text, repeats included, and ``extra`` more from other hashes; zeros for a text without words."""
+    return folded(shingle_hashes(text, words, seed), extra)
+
+
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> list[bytes]:
     w = text.lower().split()
-    if not w:
-        return [0] * (1 + extra)
     digest = xxhash.xxh64_digest
     if len(w) < words:
-        hashes = [digest(b" ".join(w), seed)]
-    else:
-        hashes = [digest(b" ".join(s), seed) for s in zip(*(w[i:] for i in range(words)), strict=False)]
+        return [digest(b" ".join(w), seed)] if w else []
+    return [digest(b" ".join(s), seed) for s in zip(*(w[i:] for i in range(words)), strict=False)]
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of the shingles, in order."""
+    return np.unique(np.frombuffer(b"".join(shingle_hashes(text, words)), ">u8").astype(np.uint64))
+
+
+def folded(hashes: list[bytes], extra: int = 0) -> list[int]:
+    """The fingerprint of hashed shingles, and ``extra`` more; zeros for none."""
+    if not hashes:
+        return [0] * (1 + extra)
     votes = np.zeros((1 + extra, 64), np.int64)
     for at in range(0, len(hashes), 1 << 13):
         part = np.frombuffer(b"".join(hashes[at : at + (1 << 13)]), np.uint8)
@@ -194,16 +206,93 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, spare: int
     return out
 
 
-#: keep_one: further fingerprints, bits that may differ in the first (0.8 of 64 agree) and over all of them. Texts whose shingle sets
-#: have a Jaccard similarity of 0.8 differ in 0.152 of the bits on average, those of 0.7 in 0.194.
-WIDE, RADIUS, LIMIT = 4, 12, 53
+#: keep_one: further fingerprints, blocks of all their bits, bits that may differ in the first and over all of them. Texts whose shingle
+#: sets have a Jaccard similarity of 0.8 differ in 0.152 of the bits on average (48.5 of 320, deviation 6.4), and agree on one of the
+#: blocks of 10 bits with a chance of 0.999; those of up to 31 bits always do.
+WIDE, BLOCKS, RADIUS, LIMIT = 4, 32, 24, 72
+#: Least Jaccard similarity of the shingle sets, as a fraction.
+LEAST = (4, 5)
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, limit: int = LIMIT, spare: int = 2) -> DataFrame:
+def block_keys(prints: np.ndarray) -> np.ndarray:
+    """The blocks (rows x BLOCKS) of the bits of all fingerprints (rows x 1 + WIDE)."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).astype(">u8").view(np.uint8).reshape(len(prints), -1), axis=1)
+    return bits.reshape(len(prints), BLOCKS, -1) @ (1 << np.arange(bits.shape[1] // BLOCKS))
+
+
+def candidates(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Pairs a < b of nodes (columns node, fp, x1 to x<WIDE>) that agree on a block and differ in up to ``limit`` bits: once each, in the first block they share."""
+    names = ["fp", *[f"x{k + 1}" for k in range(WIDE)]]
+
+    def spread(batches):
+        for b in batches:
+            keys = block_keys(np.stack([b.column(c).to_numpy().view(np.uint64) for c in names], 1)) if b.num_rows else np.zeros((0, BLOCKS), np.int64)
+            for i in range(BLOCKS):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, i] + (i << 16), pa.int64()), *[b.column(c) for c in ("node", *names)]], ["key", "node", *names])
+
+    columns = ", ".join(f"{c} long" for c in ("key", "node", *names))
+    rows = classes.select("node", *names).mapInArrow(spread, columns).repartition(shuffle_width(classes.sparkSession), "key").sortWithinPartitions("key")
+
+    def pairs(key: int, node: np.ndarray, prints: np.ndarray):
+        own, step = block_keys(prints), 1024
+        for a in range(0, len(node), step):
+            for b in range(a, len(node), step):
+                i, j = np.nonzero(_popcount(prints[a : a + step, None, 0] ^ prints[None, b : b + step, 0]) <= RADIUS)
+                i, j = i + a, j + b
+                i, j = i[i < j], j[i < j]
+                k = _popcount(prints[i] ^ prints[j]).sum(1, dtype=np.int64) <= limit
+                i, j = i[k], j[k]
+                k = (own[i] == own[j]).argmax(1) == key >> 16
+                i, j = node[i[k]], node[j[k]]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            cols = [b.column(c).to_numpy() for c in ("key", "node", *names)]
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
+            edge = np.concatenate([[0], np.nonzero(cols[0][1:] != cols[0][:-1])[0] + 1])
+            held = [c[edge[-1] :].copy() for c in cols]
+            yield from runs(cols, edge)
+        if held is not None:
+            yield from runs(held, np.array([0, len(held[0])]))
+
+    def runs(cols, edge):
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if b - a > 1:
+                yield from pairs(int(cols[0][a]), cols[1][a:b], np.stack([c[a:b].view(np.uint64) for c in cols[2:]], 1))
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) have a Jaccard similarity of LEAST or more."""
+    (num, den), small, large = LEAST, min(len(a), len(b)), max(len(a), len(b))
+    if small * den < large * num:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * den >= (small + large - both) * num
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets (columns node, s) are similar."""
+
+    def run(batches):
+        for b in batches:
+            ok = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(b.column("s").to_pylist(), b.column("t").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), "s"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id, then text hash (null ids come last).
 
-    Links need a similarity of about 0.8 on five-word shingles: up to ``radius`` of 64 bits, found by blocks, and up to ``limit`` of
-    64 * (1 + WIDE) bits. Texts without words are one group. Rows that repeat both doc_id and text stay or go together. All columns
+    Links are pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, checked on the sets; the pairs to check
+    come from fingerprints. Texts without words are one group. Rows that repeat both doc_id and text stay or go together. All columns
     pass through; an empty table gives none.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -211,18 +300,31 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = RADIUS, limit: int =
 
     def run(batches):
         for b in batches:
-            fps = [[signed(x) for x in fingerprints(t, words, extra=WIDE)] for t in byte_values(b.column("text"))]
+            sets = [shingle_set(t, words) for t in byte_values(b.column("text"))]
+            node = [signed(xxhash.xxh64_intdigest(s.tobytes())) for s in sets]
+            fps = [[signed(x) for x in folded([h.tobytes() for h in s.astype(">u8")], WIDE)] for s in sets]
             cols = [pa.array(c, pa.int64()) for c in zip(*fps, strict=True)] or [pa.array([], pa.int64())] * (1 + WIDE)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *cols], ["doc_id", "h", "fp", *more])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(node, pa.int64()), *cols], ["doc_id", "h", "node", "fp", *more])
+
+    def run_sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(t, words).astype("<u8").tobytes() for t in byte_values(b.column("text"))], pa.binary())], ["node", "s"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    fps = written(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "h", "fp", *more))), "fingerprints")
-    classes = fps.groupBy("fp", *more).count().select("fp", *more, F.xxhash64("fp", *more).alias("node"))
-    classes = written(classes, "classes")
-    comps = connected_components(links(classes, radius, spare, wide=WIDE, limit=limit))
-    of_class = classes.join(comps, "node", "left").select("fp", *more, F.coalesce("component", "node").alias("c"))
-    order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
-    placed = fps.join(of_class, ["fp", *more]).select("c", "doc_id", "h", order.alias("o"))
+    fps = written(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "h", "node", "fp", *more))), "fingerprints")
+    classes = written(fps.groupBy("node").agg(*[F.min(c).alias(c) for c in ("h", "fp", *more)]), "classes")
+    pairs = written(candidates(classes), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = rows.select("text", "h").join(classes.join(nodes, "node", "left_semi").select("node", "h"), "h")
+    sets = written(wanted.select("node", "text").mapInArrow(run_sets, "node long, s binary").dropDuplicates(["node"]), "sets")
+    # One pair of each node first; then only those that would still join two components.
+    edges = written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets), "edges")
+    comps = connected_components(edges)
+    side = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    rest = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    comps = connected_components(edges.unionByName(written(verified(rest, sets), "edges")))
+    placed = fps.select("node", "doc_id", "h", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("o"))
+    placed = placed.join(comps, "node", "left").select(F.coalesce("component", "node").alias("c"), "doc_id", "h", "o")
     least = placed.groupBy("c").agg(F.min("o").alias("o"))
     first = placed.join(least, ["c", "o"]).groupBy("c", "o").agg(F.min("h").alias("h"), F.min_by("doc_id", "h").alias("doc_id"))
     keep = first.select("doc_id", "h")

@@ -342,3 +342,21 @@ def test_kinds_come_from_all_texts(spark, monkeypatch):
     kinds = [{int(head.walk(" ".join(rng.choices(t, k=40)).encode())[0][-1]) for _ in range(20)} for t in tongues]
     assert not (kinds[0] & kinds[1] or kinds[0] & kinds[2] or kinds[1] & kinds[2])
     assert not mixing.kinds_of_text(spark.createDataFrame([], "text string"), []).any()
+
+
+def test_keep_one_links_by_exact_similarity(spark):
+    rng = random.Random(14)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for i in range(120):
+        a = fresh(204)
+        # One changed word takes five of 200 shingles: 4 changes are 180 of 220 (0.818), 5 are 175 of 225 (0.778).
+        b = list(a)
+        for at in range(20, 20 + 40 * (4 + i % 2), 40):
+            b[at] = "changed%d" % rng.randrange(10**9)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        want |= {2 * i} | ({2 * i + 1} if i % 2 else set())
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    a = np.arange(9, dtype=np.uint64)
+    assert simhash.similar(a[:8], a[:8]) and simhash.similar(a[:4], a[:5]) and not simhash.similar(a[:3], a[:4])
