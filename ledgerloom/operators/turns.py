@@ -31,3 +31,9 @@ def turn_counters(turns: DataFrame) -> DataFrame:
     """raw, logical, collapsed and inherited-only counts of ``logical_turns``."""
     raw = F.coalesce(F.sum("raw_observation_count"), F.lit(0))
     return turns.agg(raw.alias("raw"), F.count("*").alias("logical"), (raw - F.count("*")).alias("collapsed"), F.coalesce(F.sum(F.when(F.col("inherited_only"), F.col("raw_observation_count"))), F.lit(0)).alias("inherited_only"))
+
+
+def first_with_ties(rows: DataFrame, n: int, ts: str = "ts") -> DataFrame:
+    """The ``n`` earliest rows and all others of the last one's time: a group of equal times is never split."""
+    last = rows.select(ts).orderBy(ts).limit(n).agg(F.max(ts).alias("_last"))
+    return rows.join(F.broadcast(last), rows[ts] <= F.col("_last")).drop("_last")

@@ -206,7 +206,7 @@ def _catalogue() -> dict:
     q["member_order"] = (lambda s, d: groups.member_order(_group_atoms(s, d)).select("group_key", "id", "place")), f"WITH {MEMBERS_SQL} SELECT group_key, id, CAST(row_number() OVER (PARTITION BY group_key ORDER BY p <= 3 DESC, CASE WHEN p <= 3 THEN p END, ts DESC, id) AS INTEGER) AS place FROM pick"
     q["mru_per_source"] = (lambda s, d: led(s, d).groupBy("source").agg(F.max_by("id", F.struct("ts", "id")).alias("id"), F.max("ts").alias("ts"))), _q("SELECT source, arg_max(id, (ts, id)) AS id, max(ts) AS ts FROM ledger GROUP BY source")
     poll = lambda: Window.orderBy("ts")
-    q["new_turns_poll"] = (lambda s, d: led(s, d).where(F.col("ts") > F.lit(T1)).orderBy("ts").limit(41).withColumn("place", F.rank().over(poll())).where("place <= 20").select("id", "ts", "place")), _q(f"SELECT id, ts, CAST(place AS INTEGER) AS place FROM (SELECT id, ts, rank() OVER (ORDER BY ts) AS place FROM ledger WHERE ts > {at}) WHERE place <= 20")
+    q["new_turns_poll"] = (lambda s, d: turns.first_with_ties(led(s, d).where(F.col("ts") > F.lit(T1)), 20).withColumn("place", F.rank().over(poll())).select("id", "ts", "place")), _q(f"SELECT id, ts, CAST(place AS INTEGER) AS place FROM (SELECT id, ts, rank() OVER (ORDER BY ts) AS place FROM ledger WHERE ts > {at}) WHERE place <= 20")
     q["union_dedupe_poll"] = (lambda s, d: led(s, d).where(L.Scan(source_prefixes=("git:", "api:granola")).predicate() | (F.col("event_type") == "error")).where(F.col("ts") > F.lit(T1)).select("id", "ts")), _q(f"SELECT DISTINCT id, ts FROM (SELECT id, ts FROM ledger WHERE starts_with(source, 'git:') UNION ALL SELECT id, ts FROM ledger WHERE source = 'api:granola' UNION ALL SELECT id, ts FROM ledger WHERE event_type = 'error') WHERE ts > {at}")
     ck = lambda: Window.partitionBy("user_id", "event_type").orderBy(F.col("k").isNotNull().desc(), F.desc("k"), F.desc("seq"))
     q["checkpoint_rank"] = (lambda s, d: led(s, d).withColumn("n", F.row_number().over(ck())).where("n = 1").select("user_id", "event_type", "k", "seq")), _q("SELECT user_id, event_type, k, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY k IS NOT NULL DESC, k DESC, seq DESC) AS n FROM ledger) WHERE n = 1")

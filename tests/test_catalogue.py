@@ -4,6 +4,8 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from ledgerloom.plans import catalogue
 
@@ -38,3 +40,11 @@ def test_query(spark, duck, name):
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(df.columns)
     assert got == rows(names, want.fetchall())
+
+
+def test_poll_keeps_groups_of_equal_times_whole(spark, tmp_path):
+    e = spark.read.parquet(f"{DIR}/events.parquet").orderBy("event_id").limit(90).withColumn("n", F.row_number().over(Window.orderBy("event_id")))
+    at = F.lit(catalogue.T1) + F.make_dt_interval(mins=F.when(F.col("n") <= 15, F.col("n")).when(F.col("n") <= 55, 20).otherwise(F.col("n")))
+    e.withColumn("ts", at.cast(e.schema["ts"].dataType)).drop("n").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.queries()["new_turns_poll"](spark, str(tmp_path)).collect()
+    assert len(got) == 55 and sorted(r.place for r in got) == [*range(1, 16), *[16] * 40]
