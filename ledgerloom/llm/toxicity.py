@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_values
+from .shared import byte_values, release, written
 
-#: Labelled texts that the model is fitted on at most (chosen by hash), words of one that are used, words that are kept.
+#: Labelled texts that the model is fitted on at most (chosen by hash), bytes of them after which no more are taken, words that are kept.
 SAMPLE, SAMPLE_BYTES, VOCABULARY = 12_000, 24 << 20, 1 << 16
 #: Strength of the Dirichlet prior, evidence (texts) a token needs, drift of a word without weight, standardized log-odds a token needs, folds.
 PRIOR, EVIDENCE, DRIFT, Z, FOLDS = 40.0, 4, -0.15, 3.0, 5
@@ -137,9 +138,9 @@ class Model:
 
     def features(self, x: list[float]) -> list[float]:
         own = sorted((s for _, _, s in segments(x)), reverse=True)
-        sig = [self.significance(s, len(x)) for s in own[:50]]
+        significant = sum(1 for _ in takewhile(lambda s: self.significance(s, len(x)) > 1.3, own))
         hits = sum(v > 0 for v in x)
-        return [min(sig[0], 12.0) if sig else 0.0, math.log1p(sum(own)), math.log1p(sum(s > 1.3 for s in sig)), math.log1p(hits), 100 * hits / (len(x) + 20), float(bool(hits)), math.log1p(len(x))]
+        return [min(self.significance(own[0], len(x)), 12.0) if own else 0.0, math.log1p(sum(own)), math.log1p(significant), math.log1p(hits), 100 * hits / (len(x) + 20), float(bool(hits)), math.log1p(len(x))]
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression by Newton's method with a small ridge, on standardized features."""
@@ -188,7 +189,8 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of a bounded sample of the labelled rows outside the held-out fold: SAMPLE texts and SAMPLE_BYTES of them at most, by hash of the id.
+    """The model of a bounded sample of the labelled rows outside the held-out fold, by hash of the id and whatever their length: SAMPLE texts
+    at most, and none after SAMPLE_BYTES are reached. Only a text that is longer than SAMPLE_BYTES by itself is passed over.
 
     Rows with a null id or label are not used; a repeated text or id counts once.
     """
@@ -196,16 +198,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marked = marked.where("doc_id is not null and toxic is not null and not " + HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.select("*", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE)
     texts = _docs(docs).where("text is not null").join(F.broadcast(chosen), "doc_id")
-    sized = texts.withColumn("n", F.octet_length("text")).select("doc_id", "text", "toxic", "h", "n")
-    sized = sized.where(F.col("n") <= SAMPLE_BYTES // SAMPLE * 8).orderBy("h", "doc_id", "text").limit(SAMPLE)
-    got = sized.select("doc_id", "text", "toxic").toArrow()
-    got = got.combine_chunks()
-    rows, size = {}, 0
-    for d, t, y in zip(got["doc_id"].to_pylist(), got["text"].to_pylist(), got["toxic"].to_pylist(), strict=True):
-        if d not in rows and size < SAMPLE_BYTES:
-            rows[d] = (t.encode(), y)
-            size += len(t)
-    return Model([t for t, _ in rows.values()], [y for _, y in rows.values()])
+    sized = written(texts.select("doc_id", "h", "toxic", F.octet_length("text").alias("n"), "text").where(F.col("n") <= SAMPLE_BYTES), "labelled")
+    # Bytes before each text, by the sizes alone: what comes to the driver is bounded by them.
+    sizes = sized.groupBy("doc_id", "h").agg(F.min("n").alias("n")).orderBy("h", "doc_id").toArrow()
+    n = sizes["n"].to_numpy().astype(np.int64)
+    ids = sizes["doc_id"].to_numpy()[np.cumsum(n) - n < SAMPLE_BYTES].tolist()
+    taken = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    rows = sized.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "h", "toxic").agg(F.min(F.struct("n", "text")).alias("t"))
+    rows = rows.orderBy("h", "doc_id").select("toxic", F.col("t.text").alias("text")).toArrow()
+    release(docs.sparkSession, sized)
+    return Model([t.encode() for t in rows["text"].to_pylist()], rows["toxic"].to_pylist())
 
 
 #: The fold that is held out of fitting.

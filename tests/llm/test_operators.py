@@ -360,3 +360,21 @@ def test_keep_one_links_by_exact_similarity(spark):
     assert got == want
     a = np.arange(9, dtype=np.uint64)
     assert simhash.similar(a[:8], a[:8]) and simhash.similar(a[:4], a[:5]) and not simhash.similar(a[:3], a[:4])
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    rng = random.Random(15)
+    rows, labels = [], []
+    for i in range(120):
+        w = [rng.choice(["tree", "house", "river", "stone", "cloud", "green"]) for _ in range(4000 if i % 2 else 40)]
+        if i % 2:
+            for at in range(0, len(w), 40):
+                w[at:at] = ["vilefool", "grubworm"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.weight("vilefool") > 0 and model.score(rows[1][1].encode()) > 0.5 > model.score(rows[0][1].encode())
+    x = ([3.0] + [toxicity.DRIFT] * 60) * 80
+    model.mode, model.scale, model.typical = 0.0, 0.25, 1.0
+    assert math.isclose(model.features(x)[2], math.log1p(80))
