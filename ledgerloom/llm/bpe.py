@@ -258,10 +258,83 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+#: Letters that lower-case and compose alone: ASCII, and U+00C0 to U+017F but for the signs of multiplication and division and U+0130.
+_PLAIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: Words of such letters, ASCII digits and ASCII marks; and, as a fixed value, the pieces that the pattern of word files finds in them.
+_PLAIN_WORD = re.compile(f"[\x21-\x7e{_PLAIN}]+")
+_PLAIN_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_PLAIN}]+|[0-9]|[^0-9{_PLAIN}]+")
+
+
+class WordEncoder:
+    """Encodes whole texts with a word file. Every word is remembered; a new one is cut into its pieces, and these go to the merges at
+    once, without the library's normalization, where that is sure to change nothing but the case."""
+
+    def __init__(self, path: str, dtype: str, remembered: int = REMEMBERED):
+        self.t, self.kind = tokenizer(path), {"<u2": "H", "<u4": "I"}[dtype]
+        table = byte_alphabet()
+        self.table = {b: c for b, c in table.items() if chr(b) != c}
+        self.pieces: dict[str, bytes] = {}
+        self.words = _Words(self.word, remembered)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
+
+    def piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.table)
+        return self.packed([x.id for x in self.t.model.tokenize(piece)])
+
+    def word(self, word: bytes) -> bytes:
+        """The ids of what stands between white space (lower case but for what may hold a special token)."""
+        s = word.decode()
+        if b"<|" in word or not _PLAIN_WORD.fullmatch(s):
+            return self.packed(self.t.encode(s, add_special_tokens=False).ids)
+        s = s.lower()
+        if s.isalpha():
+            return self.piece(s)
+        out = []
+        for p in _PLAIN_PIECES.findall(s):
+            if p[0].isalpha():
+                out.append(self.piece(p))
+                continue
+            ids = self.pieces.get(p)
+            if ids is None:
+                ids = self.piece(p)
+                if len(self.pieces) < 1 << 16:
+                    self.pieces[p] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: bytes) -> list[bytes]:
+        """The ids of each word of a text, as bytes."""
+        return list(map(self.words.__getitem__, (text if b"<|" in text else text.lower()).split()))
+
+    def encode_all(self, texts: list[bytes]):
+        return map(self.encode, texts)
+
+
+class _Words(dict):
+    """What ``make`` gives for words: for the newest ``size`` at least that were new or used, in two generations, of which the older is dropped."""
+
+    def __init__(self, make: Callable[[bytes], bytes], size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, max(1, size // 2), {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(word)
+        self[word] = value = self.make(word) if value is None else value
+        return value
+
+
 @lru_cache(maxsize=4)
-def id_encoder(path: str, dtype: str) -> Encoder:
-    """An encoder that gives the ids of a chunk as little-endian bytes."""
+def id_encoder(path: str, dtype: str) -> Encoder | WordEncoder:
+    """An encoder that gives the ids of the chunks of a text as little-endian bytes."""
     kind = {"<u2": "H", "<u4": "I"}[dtype]
+    if tokenizer(path).normalizer is not None:
+        return WordEncoder(path, dtype)
     return Encoder(path, lambda ids: struct.pack(f"<{len(ids)}{kind}", *ids))
 
 

@@ -22,16 +22,15 @@ SAMPLE, READ_BYTES = 256, 8 << 20
 
 
 class EliasFano:
-    """A non-decreasing sequence of n values below u + 1 in about n * (2 + log2(u / n)) bits, with ``select``."""
+    """A non-decreasing sequence of n values below u + 1 in about n * (2 + log2(u / n)) bits, with ``select``.
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes):
+    The upper parts of the values are the ones of a bit string in unary, the lower parts an array of ``l`` bits each. The select structure
+    is stored with them: the place of every SAMPLE-th one, in 32 bits. Nothing else is built when a sequence is opened.
+    """
+
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: bytes):
         self.n, self.l = n, low_bits
-        self.low, self.high = np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8)
-        ones = np.bitwise_count(self.high).cumsum(dtype=np.int64)
-        #: For every SAMPLE-th value, the byte of the high bits that holds it, and the ones before that byte.
-        wanted = np.arange(0, n, SAMPLE)
-        self.byte = np.searchsorted(ones, wanted, side="right")
-        self.before = ones[self.byte] - np.bitwise_count(self.high[self.byte]) if n else ones[:0]
+        self.low, self.high, self.samples = np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8), np.frombuffer(samples, "<u4")
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -39,47 +38,55 @@ class EliasFano:
         n, top = len(v), int(v[-1]) if len(v) else 0
         l = max(0, (top // n).bit_length() - 1) if n else 0
         bits = ((v[:, None] >> np.arange(l, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if l else np.zeros((n, 0), np.uint8)
-        high = np.zeros((top >> l) + n + 1, np.uint8)
-        high[(v >> np.uint64(l)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, l, np.packbits(bits.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes())
+        high, ones = np.zeros((top >> l) + n + 1, np.uint8), (v >> np.uint64(l)).astype(np.int64) + np.arange(n)
+        if len(high) >> 32:
+            raise ValueError("too many values for one sequence")
+        high[ones] = 1
+        return cls(n, l, np.packbits(bits.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes())
+
+    def _low(self, i: int, j: int) -> np.ndarray:
+        first = i * self.l
+        bits = np.unpackbits(self.low[first >> 3 : (j * self.l + 7) >> 3], bitorder="little")[first & 7 :][: (j - i) * self.l]
+        return (bits.reshape(j - i, self.l).astype(np.int64) << np.arange(self.l)).sum(1) if self.l else np.zeros(j - i, np.int64)
 
     def select(self, i: int) -> int:
-        """The i-th value, from the samples, a scan of a few bytes and its low bits."""
+        """The i-th value, from the sample before it, a scan of a few bytes and its low bits."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, seen = int(self.byte[i // SAMPLE]), int(self.before[i // SAMPLE])
-        while seen + (c := int(self.high[at]).bit_count()) <= i:
-            at, seen = at + 1, seen + c
-        b = int(self.high[at])
-        for _ in range(i - seen):
+        bit = int(self.samples[i // SAMPLE])
+        at, left = bit >> 3, i % SAMPLE
+        b = int(self.high[at]) >> (bit & 7) << (bit & 7)
+        while (c := b.bit_count()) <= left:
+            at, left = at + 1, left - c
+            b = int(self.high[at])
+        for _ in range(left):
             b &= b - 1
-        high = at * 8 + ((b & -b).bit_length() - 1) - i
-        first, low = i * self.l, 0
-        for k in range(self.l):
-            p = first + k
-            low |= (int(self.low[p >> 3]) >> (p & 7) & 1) << k
-        return high << self.l | low
+        return (at * 8 + ((b & -b).bit_length() - 1) - i) << self.l | int(self._low(i, i + 1)[0])
 
     def __len__(self) -> int:
         return self.n
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        where = np.nonzero(np.unpackbits(self.high, bitorder="little"))[0][: self.n]
-        out = (where - np.arange(self.n)).astype(np.int64) << self.l
-        if self.l:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.l].reshape(self.n, self.l).astype(np.int64)
-            out |= (bits << np.arange(self.l)).sum(1)
-        return out
+    def slice(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, from the samples around them."""
+        if i >= j:
+            return np.zeros(0, np.int64)
+        k, last = i // SAMPLE, -(-j // SAMPLE)
+        start = int(self.samples[k])
+        stop = int(self.samples[last]) if last < len(self.samples) else len(self.high) * 8
+        bits = np.unpackbits(self.high[start >> 3 : (stop + 7) >> 3], bitorder="little")
+        bits[: start & 7] = 0
+        ones = np.nonzero(bits)[0][i - k * SAMPLE :][: j - i] + (start >> 3 << 3)
+        return (ones - np.arange(i, j)) << self.l | self._low(i, j)
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QBQQ", self.n, self.l, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        parts = [x.tobytes() for x in (self.low, self.high, self.samples)]
+        return struct.pack("<QBQQQ", self.n, self.l, *map(len, parts)) + b"".join(parts)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
-        n, l, a, b = struct.unpack_from("<QBQQ", data)
-        at = struct.calcsize("<QBQQ")
-        return cls(n, l, data[at : at + a], data[at + a : at + a + b])
+        n, l, *sizes = struct.unpack_from("<QBQQQ", data)
+        cuts = np.cumsum([struct.calcsize("<QBQQQ"), *sizes]).tolist()
+        return cls(n, l, *[data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)])
 
 
 class TokenFile:
@@ -109,17 +116,19 @@ class TokenFile:
             return np.frombuffer(f.read((b - a) * self.dtype.itemsize), self.dtype)
 
     def each(self):
-        """(doc_id, first position, ids) of all documents in order, read in runs of bounded size."""
-        bounds, docs, w = self.bounds.values(), self.doc_ids(), self.dtype.itemsize
-        i = 0
+        """(doc_id, first position, ids) of all documents in order. Bounds are selected for SAMPLE documents at a time; ids are read in runs of bounded size."""
+        docs, w = self.doc_ids(), self.dtype.itemsize
         with self.files.open_input_file(self.path) as f:
-            while i < len(docs):
-                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + READ_BYTES // w, side="right")) - 1)
-                f.seek(len(MAGIC) + int(bounds[i]) * w)
-                run = np.frombuffer(f.read(int(bounds[j] - bounds[i]) * w), self.dtype)
-                for k in range(i, j):
-                    yield docs[k], int(bounds[k]), run[bounds[k] - bounds[i] : bounds[k + 1] - bounds[i]]
-                i = j
+            for first in range(0, len(docs), SAMPLE):
+                bounds = self.bounds.slice(first, min(first + SAMPLE, len(docs)) + 1)
+                i = 0
+                while i + 1 < len(bounds):
+                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + READ_BYTES // w, side="right")) - 1)
+                    f.seek(len(MAGIC) + int(bounds[i]) * w)
+                    run = np.frombuffer(f.read(int(bounds[j] - bounds[i]) * w), self.dtype)
+                    for k in range(i, j):
+                        yield docs[first + k], int(bounds[k]), run[bounds[k] - bounds[i] : bounds[k + 1] - bounds[i]]
+                    i = j
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, dtype: str = "<u2") -> list[dict]:
