@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset and the master is local (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
     return base.rstrip("/")
 
@@ -29,16 +31,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written once to the shared folder and read back, so that lost executors never replay what came before."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def release(spark: SparkSession, *done: DataFrame) -> None:
-    """Deletes written tables that nothing will read again, and lets Spark drop the shuffles of finished queries, which it does when the
-    driver's garbage is collected."""
+    """Deletes tables of ``written`` that nothing will read again, and lets Spark drop the shuffles of finished queries, which it does when
+    the driver's garbage is collected."""
     for df in done:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     spark._jvm.System.gc()
 

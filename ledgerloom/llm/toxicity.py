@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -24,6 +23,8 @@ from .shared import byte_values, release, written
 SAMPLE, SAMPLE_BYTES, VOCABULARY = 12_000, 24 << 20, 1 << 16
 #: Strength of the Dirichlet prior, evidence (texts) a token needs, drift of a word without weight, standardized log-odds a token needs, folds.
 PRIOR, EVIDENCE, DRIFT, Z, FOLDS = 40.0, 4, -0.15, 3.0, 5
+#: What a text is judged by (see ``features``), and the log-odds of toxicity where no labelled text is toxic.
+FEATURES, NEVER = 7, -20.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -66,7 +67,7 @@ class Model:
             for i in range(f, len(texts), FOLDS):
                 walks[i] = self.scores(texts[i])
         self.calibrate([w for w, y in zip(walks, labels, strict=True) if not y])
-        x = np.array([self.features(w) for w in walks]).reshape(len(walks), -1)
+        x = np.array([self.features(w, segments(w)) for w in walks]).reshape(len(walks), FEATURES)
         self.fit(x, np.array(labels, float))
         self.weights = self.log_odds(total, sizes.sum(0))
 
@@ -133,20 +134,27 @@ class Model:
     def passages(self, text: bytes, alpha: float = 0.05) -> list[tuple[int, int, float, float]]:
         """(first word, word after the last, score, significance) of every segment significant at ``alpha``."""
         x = self.scores(text)
-        out = [(a, b, s, self.significance(s, len(x))) for a, b, s in segments(x)]
+        return self.significant(segments(x), len(x), alpha)
+
+    def significant(self, own: list[tuple[int, int, float]], n: int, alpha: float = 0.05) -> list[tuple[int, int, float, float]]:
+        out = [(a, b, s, self.significance(s, n)) for a, b, s in own]
         return [p for p in out if p[3] >= -math.log10(alpha)]
 
-    def features(self, x: list[float]) -> list[float]:
-        own = sorted((s for _, _, s in segments(x)), reverse=True)
-        significant = sum(1 for _ in takewhile(lambda s: self.significance(s, len(x)) > 1.3, own))
-        hits = sum(v > 0 for v in x)
-        return [min(self.significance(own[0], len(x)), 12.0) if own else 0.0, math.log1p(sum(own)), math.log1p(significant), math.log1p(hits), 100 * hits / (len(x) + 20), float(bool(hits)), math.log1p(len(x))]
+    def features(self, x: list[float], own: list[tuple[int, int, float]]) -> list[float]:
+        """Significance of the best segment, sum of all, number of significant ones, hits, their share, whether there are any, length (sums and numbers by logarithm)."""
+        best, hits = max((s for _, _, s in own), default=None), sum(v > 0 for v in x)
+        many = sum(self.significance(s, len(x)) > 1.3 for _, _, s in own)
+        top = 0.0 if best is None else min(self.significance(best, len(x)), 12.0)
+        return [top, math.log1p(sum(s for _, _, s in own)), math.log1p(many), math.log1p(hits), 100 * hits / (len(x) + 20), float(bool(hits)), math.log1p(len(x))]
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton's method with a small ridge, on standardized features."""
-        self.mean, self.sd = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(7), np.ones(7))
-        z = np.hstack([np.ones((len(x), 1)), (x - self.mean) / self.sd]) if len(x) else np.zeros((0, 8))
+        """Logistic regression by Newton's method with a small ridge, on standardized features; without a toxic text no score is over that of NEVER."""
+        self.mean, self.sd = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
+        z = np.hstack([np.ones((len(x), 1)), (x - self.mean) / self.sd])
         self.beta = np.zeros(z.shape[1])
+        if not y.any():
+            self.beta[0] = NEVER
+            return
         for _ in range(30):
             p = 1 / (1 + np.exp(-z @ self.beta))
             ridge = np.eye(z.shape[1]) * 0.5
@@ -155,32 +163,43 @@ class Model:
             if np.abs(step).max() < 1e-8:
                 break
 
+    def judged(self, text: bytes) -> tuple[float, int]:
+        """The score of a text, and how many significant passages it has; one walk and one scan."""
+        x = self.scores(text)
+        own = segments(x)
+        z = self.beta[0] + float(((np.array(self.features(x, own)) - self.mean) / self.sd) @ self.beta[1:])
+        return float(1 / (1 + math.exp(-max(min(z, 35.0), -35.0)))), len(self.significant(own, len(x)))
+
     def score(self, text: bytes) -> float:
-        z = self.beta[0] + float(((np.array(self.features(self.scores(text))) - self.mean) / self.sd) @ self.beta[1:])
-        return float(1 / (1 + math.exp(-max(min(z, 35.0), -35.0))))
+        return self.judged(text)[0]
 
 
 def segments(x: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring subsequences (start, stop, score), in linear time (Ruzzo and Tompa 1999)."""
-    starts, stops, left, right = [], [], [], []
+    """All maximal scoring subsequences (start, stop, score), in linear time (Ruzzo and Tompa 1999).
+
+    ``left`` and ``right`` are the sums before and after each candidate; ``lower`` is the last candidate before it with a lower left sum,
+    so that a search skips all between, which it could not end at.
+    """
+    starts, stops, left, right, lower = [], [], [], [], []
     total = 0.0
     for i, v in enumerate(x):
         total += v
         if v <= 0:
             continue
         a, lo, hi = i, total - v, total
-        while True:
-            j = len(left) - 1
-            while j >= 0 and left[j] >= lo:
-                j -= 1
-            if j < 0 or right[j] >= hi:
-                starts.append(a)
-                stops.append(i + 1)
-                left.append(lo)
-                right.append(hi)
-                break
+        j = len(left) - 1
+        while j >= 0 and left[j] >= lo:
+            j = lower[j]
+        while j >= 0 and right[j] < hi:
             a, lo = starts[j], left[j]
-            del starts[j:], stops[j:], left[j:], right[j:]
+            below = lower[j]
+            del starts[j:], stops[j:], left[j:], right[j:], lower[j:]
+            j = below
+        starts.append(a)
+        stops.append(i + 1)
+        left.append(lo)
+        right.append(hi)
+        lower.append(j)
     return [(a, b, r - m) for a, b, m, r in zip(starts, stops, left, right, strict=True)]
 
 
@@ -192,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of a bounded sample of the labelled rows outside the held-out fold, by hash of the id and whatever their length: SAMPLE texts
     at most, and none after SAMPLE_BYTES are reached. Only a text that is longer than SAMPLE_BYTES by itself is passed over.
 
-    Rows with a null id or label are not used; a repeated text or id counts once.
+    Rows with a null id or label are not used; a repeated text or id counts once. Without labelled texts (an empty table on either side),
+    or without a toxic one among them, the model finds nothing toxic.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where("doc_id is not null and toxic is not null and not " + HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -217,21 +237,25 @@ HELD_OUT = "(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0)"
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Columns doc_id, held_out, score, predicted, n_passages: one row per row of ``docs``, from whole texts.
 
-    Null and empty texts have no passages, and the score of that. A null id is not held out. Other columns are never read.
+    Null and empty texts have no passages, and the score of that. A text of any length is walked whole. A null id is not held out. Repeated
+    rows are scored each, alike; equal texts have equal scores. An empty table gives none. Other columns are never read.
     """
     names = ["doc_id", "score", "n_passages"]
 
     def run(batches):
         for b in batches:
-            texts = byte_values(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([model.score(t) for t in texts], pa.float64()), pa.array([len(model.passages(t)) for t in texts], pa.int64())], names)
+            judged = [model.judged(t) for t in byte_values(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s for s, _ in judged], pa.float64()), pa.array([n for _, n in judged], pa.int64())], names)
 
     out = _docs(docs).mapInArrow(run, "doc_id long, score double, n_passages long")
     return out.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"), "n_passages")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores under ``threshold``, with all columns; null and empty texts are scored as such."""
+    """The rows of ``docs`` whose text scores under ``threshold``, with all columns, whatever their names.
+
+    Null and empty texts are scored as such, long ones whole; repeated rows stay or go together. An empty table gives none.
+    """
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

@@ -161,7 +161,9 @@ def test_elias_fano():
     for n, top in ((0, 0), (1, 0), (1, 10**9), (5000, 40), (3000, 10**7)):
         v = np.sort(rng.integers(0, top + 1, n))
         e = tokenfile.EliasFano.from_bytes(tokenfile.EliasFano.encode(v).to_bytes())
-        assert (e.values() == v).all() and all(e.select(i) == v[i] for i in range(0, n, 7))
+        assert (e.slice(0, n) == v).all() and all(e.select(i) == v[i] for i in range(0, n, 7))
+        for i, j in ((3, 700), (256, 512), (255, 257), (n - 2, n)):
+            assert n < 1000 or (e.slice(i, j) == v[i:j]).all()
         assert n < 1000 or len(e.to_bytes()) * 8 < n * (3 + max(0, math.log2(max(top, 1) / n))) + 400
 
 
@@ -377,4 +379,4 @@ def test_toxicity_learns_from_long_texts(spark):
     assert model.weight("vilefool") > 0 and model.score(rows[1][1].encode()) > 0.5 > model.score(rows[0][1].encode())
     x = ([3.0] + [toxicity.DRIFT] * 60) * 80
     model.mode, model.scale, model.typical = 0.0, 0.25, 1.0
-    assert math.isclose(model.features(x)[2], math.log1p(80))
+    assert math.isclose(model.features(x, toxicity.segments(x))[2], math.log1p(80))
