@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import Column
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Bits of the source families.
 FAMILY_BITS = {"cursor": 1, "claude_code": 2, "codex": 4, "git": 8, "granola": 16}
+#: What begins a scheme and what begins a path.
 _SCHEME = r"^[A-Za-z_][A-Za-z0-9_+.-]*:"
 _ABSOLUTE = r"^(?:[A-Za-z]:[\\/]|/|~/|\\)"
 
@@ -81,21 +83,36 @@ def source_app(source: Column) -> Column:
 
 
 def path_within(path: Column, root: str) -> Column:
-    """Whether a path equals or descends from a root, both normalized (dot segments removed)."""
-    norm = norm_source_value(root) or root
-    key = norm_source(dot_free(path))
-    return (key == norm) | key.startswith(norm if norm.endswith("/") else norm + "/")
+    """Whether ``path`` (a result of ``absolute_path``) is ``root`` or under it."""
+    norm = posixpath.normpath(root).rstrip("/") if root.startswith("/") else None
+    if norm is None or "\0" in root:
+        return F.lit(False)
+    return F.lit(True) & path.isNotNull() if norm == "" else F.coalesce((path == norm) | path.startswith(norm + "/"), F.lit(False))
+
+
+#: Bytes of the longest path that a project may be told by.
+MAX_PATH_BYTES = 16 << 10
+
+
+def absolute_path(path: Column) -> Column:
+    """An absolute path without dot segments and trailing slash, in a form that filters can push down; null for any other."""
+    usable = path.startswith("/") & ~path.contains("\0") & (F.octet_length(path) <= MAX_PATH_BYTES)
+    return F.when(usable, F.when(dot_free(path) == "/", "").otherwise(dot_free(path)))
 
 
 def dot_free(path: Column) -> Column:
-    """A path without ``.`` and ``..`` segments."""
-    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda p: (p != ".") & (p != ""))
-    kept = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p))),
-    )
-    return F.concat(F.when(F.translate(path, "\\", "/").startswith("/"), "/").otherwise(""), F.array_join(kept, "/"))
+    """A path without empty, ``.`` and ``..`` segments and without a trailing slash; leading ``..`` of a relative path stay."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != ".") & (p != ""))
+    absolute = path.startswith("/")
+
+    def step(acc: Column, p: Column) -> Column:
+        up = (p == "..") & (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")) != "..")
+        lost = (p == "..") & absolute
+        return F.when(up, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(lost, acc).otherwise(F.concat(acc, F.array(p)))
+
+    # A path with nothing to remove, the usual one, is left as it is.
+    plain = path.startswith("/") & ~path.rlike(r"/(?:\.{0,2})(?:/|\z)")
+    return F.when(plain, path).otherwise(F.concat(F.when(absolute, "/").otherwise(""), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")))
 
 
 #: Artifact types by role, and those that may link atoms.

@@ -2,96 +2,161 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ARTIFACTS = 32
+STRONG, WEAK, LINEAGE = 0, 1, 2
+#: A time line is cut into stretches of a day, or of the window where that is longer, so that no task sorts the whole of a busy key.
+STRETCH_US = 86_400_000_000
 
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def in_text_order(column: Column) -> Column:
+    """A sort key by which texts compare as in a dictionary (``a`` before ``B``)."""
+    return F.collate(column, "UNICODE")
+
+
+def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Equality of keys of which any may be null."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+
+
+def linked(rows: DataFrame, keys: list[str], window_hours: float, ts: str = "ts", id_: str = "id") -> DataFrame:
+    """``rows`` with ``_prev`` and ``_gap``: the row before in its key's time line (by time, then id) and the microseconds between; null for
+    the first, and ``_b``, the stretch. The rows of a stretch are sorted together; of each stretch one row goes on to the next."""
+    width = max(int(window_hours * 3_600_000_000), STRETCH_US)
+    rows = rows.withColumn("_b", F.floor(micros(F.col(ts)) / F.lit(width)).cast("long"))
+    order = [ts, in_text_order(F.col(id_))]
+    line = Window.partitionBy(*keys, "_b").orderBy(*order)
+    inside = rows.withColumns({"_prev": F.lag(id_).over(line), "_at": F.lag(ts).over(line)})
+    last = rows.groupBy(*keys, "_b").agg(F.max_by(id_, F.struct(F.col(ts), in_text_order(F.col(id_)))).alias("_last"), F.max(ts).alias("_last_at"))
+    stretches = Window.partitionBy(*keys).orderBy("_b")
+    before = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_sb"), F.lag("_last").over(stretches).alias("_before"), F.lag("_last_at").over(stretches).alias("_before_at"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_b") == F.col("_sb"))
+    out = inside.join(before, on, "left")
+    gap = micros(F.col(ts)) - micros(F.coalesce("_at", "_before_at"))
+    return out.withColumns({"_prev": F.coalesce("_prev", "_before"), "_gap": gap}).drop("_at", "_before", "_before_at", "_sb", *[f"_k{i}" for i in range(len(keys))])
+
+
 def adjacent(rows: DataFrame, keys: list[str], window_hours: float, ts: str = "ts", id_: str = "id") -> DataFrame:
-    """Consecutive rows of each key (by time, then id) up to a gap apart: keys, from_id, to_id, gap_us. One sort, no self-join."""
-    w = Window.partitionBy(*keys).orderBy(ts, id_)
-    out = rows.select(*keys, F.lag(id_).over(w).alias("from_id"), F.col(id_).alias("to_id"), (micros(F.col(ts)) - micros(F.lag(ts).over(w))).alias("gap_us"))
-    return out.where((F.col("from_id").isNotNull()) & (F.col("gap_us") <= int(window_hours * 3_600_000_000)))
+    """Consecutive rows of each key (by time, then id) up to a gap apart: keys, from_id, to_id, gap_us. No self-join."""
+    out = linked(rows.select(*dict.fromkeys([*keys, ts, id_])), keys, window_hours, ts, id_)
+    return out.where(F.col("_gap") <= int(window_hours * 3_600_000_000)).select(*keys, F.col("_prev").alias("from_id"), F.col(id_).alias("to_id"), F.col("_gap").alias("gap_us"))
 
 
 def gap_components(rows: DataFrame, keys: list[str], window_hours: float, ts: str = "ts", id_: str = "id") -> DataFrame:
-    """``rows`` with ``component``: the number of gaps over the window before, within each key."""
-    w = Window.partitionBy(*keys).orderBy(ts, id_)
-    far = F.coalesce(micros(F.col(ts)) - micros(F.lag(ts).over(w)) > int(window_hours * 3_600_000_000), F.lit(True))
-    return rows.withColumn("_far", far.cast("int")).withColumn("component", F.sum("_far").over(w).cast("long")).drop("_far")
+    """``rows`` with ``component``: the number of gaps over the window up to it, within each key."""
+    far = F.coalesce(F.col("_gap") > int(window_hours * 3_600_000_000), F.lit(True)).cast("int")
+    out = linked(rows, keys, window_hours, ts, id_).drop("_prev").withColumn("_far", far).drop("_gap")
+    stretches = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = out.groupBy(*keys, "_b").agg(F.sum("_far").alias("_n"))
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_sb"), F.coalesce(F.sum("_n").over(stretches), F.lit(0)).alias("_before"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_b") == F.col("_sb"))
+    line = Window.partitionBy(*keys, "_b").orderBy(ts, in_text_order(F.col(id_)))
+    out = out.join(sums, on).withColumn("component", (F.sum("_far").over(line) + F.col("_before")).cast("long"))
+    return out.drop("_far", "_b", "_sb", "_before", *[f"_k{i}" for i in range(len(keys))])
 
 
 def candidates(atoms: DataFrame, bridge: DataFrame, window_hours: float) -> DataFrame:
-    """project, phase (0 strong, 1 weak, 2 lineage), key, from_id, to_id, gap_us of every adjacent pair.
+    """project, phase, key, from_id, to_id, gap_us of every adjacent pair.
 
     ``atoms``: id, ts, project, owner (null: none). ``bridge``: id, ts, project, key, membership.
     """
     shared = adjacent(bridge.where("membership <> 'none'").select("id", "ts", "project", "key", "membership").distinct(), ["project", "membership", "key"], window_hours)
-    shared = shared.select("project", F.when(F.col("membership") == "strong", 0).otherwise(1).alias("phase"), "key", "from_id", "to_id", "gap_us")
+    shared = shared.select("project", F.when(F.col("membership") == "strong", STRONG).otherwise(WEAK).alias("phase"), "key", "from_id", "to_id", "gap_us")
     lineage = adjacent(atoms.where("owner is not null"), ["project", "owner"], window_hours)
-    return shared.unionByName(lineage.select("project", F.lit(2).alias("phase"), F.col("owner").alias("key"), "from_id", "to_id", "gap_us"))
+    return shared.unionByName(lineage.select("project", F.lit(LINEAGE).alias("phase"), F.col("owner").alias("key"), "from_id", "to_id", "gap_us"))
 
 
-def join_in_order(edges: list[tuple], owners: dict[str, str | None]) -> tuple[dict[str, str], list[tuple]]:
-    """Applies candidate edges (phase, key, from, to) in their order; the component (least id) of each node, and the accepted edges.
+def tree_edges(ordered: list[tuple[int, str, str]], owners: dict[str, str | None]) -> tuple[dict[str, str], list[int]]:
+    """Which of the edges (phase, a, b) make the forest, in their order, and the least id of each node's tree.
 
-    A weak edge joins only components without owners on a side, or with one in common; strong and lineage edges always join. Further
-    keys between an accepted pair are noted on its edge.
+    The rule: an edge makes one tree of two; a weak one only if a side has no owner yet, or both have one in common. Trees are lists of
+    nodes, and the shorter is relabelled.
     """
-    parent = {i: i for i in owners}
-    held = {i: {o} if o is not None else set() for i, o in owners.items()}
-    kept: dict[tuple[str, str], list[str]] = {}
-
-    def root(x: str) -> str:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for phase, key, a, b in edges:
-        pair = (a, b) if a < b else (b, a)
-        ra, rb = root(a), root(b)
-        if phase == 1 and held[ra] and held[rb] and held[ra].isdisjoint(held[rb]):
+    label = {i: n for n, i in enumerate(owners)}
+    trees = [[i] for i in owners]
+    owned = [set() if o is None else {o} for o in owners.values()]
+    made = []
+    for n, (phase, a, b) in enumerate(ordered):
+        x, y = label[a], label[b]
+        if x == y:
+            continue
+        if phase == WEAK and owned[x] and owned[y] and not owned[x] & owned[y]:
             continue
-        if pair in kept:
-            if phase < 2 and len(kept[pair]) < MAX_ARTIFACTS and key not in kept[pair]:
-                kept[pair].append(key)
-        elif ra != rb:
-            low, high = (ra, rb) if ra < rb else (rb, ra)
-            parent[high] = low
-            held[low] |= held.pop(high)
-            kept[pair] = [key]
-    return {i: root(i) for i in owners}, [(a, b, sorted(k)) for (a, b), k in sorted(kept.items())]
+        if len(trees[x]) < len(trees[y]):
+            x, y = y, x
+        for i in trees[y]:
+            label[i] = x
+        trees[x] += trees[y]
+        owned[x] |= owned[y]
+        trees[y], owned[y] = [], set()
+        made.append(n)
+    return {i: least for t in trees if t for least in [min(t)] for i in t}, made
+
+
+def forest_runs(atoms: DataFrame, bridge: DataFrame, window_hours: float) -> tuple[DataFrame, DataFrame]:
+    """Atoms with the number of their run, and the candidate edges with it and their place in the order of decisions.
+
+    Strong edges come first, then weak ones, each by gap, key and ends; then those of lineage by owner and time.
+    """
+    runs = gap_components(atoms.select("project", "id", "ts", "owner"), ["project"], window_hours).withColumnRenamed("component", "run")
+    edges = candidates(atoms, bridge, window_hours).join(runs.select("project", F.col("id").alias("to_id"), "run", F.col("ts").alias("to_ts")), ["project", "to_id"])
+    shared = F.col("phase") < LINEAGE
+    order = Window.partitionBy("project", "run").orderBy(
+        "phase", F.when(shared, F.col("gap_us")), in_text_order(F.col("key")), F.when(~shared, F.col("to_ts")), in_text_order(F.col("from_id")), in_text_order(F.col("to_id")),
+    )
+    return runs, edges.withColumn("place", F.row_number().over(order)).drop("to_ts")
 
 
 def constrained_forest(atoms: DataFrame, bridge: DataFrame, window_hours: float = 4.0) -> DataFrame:
     """project, id, component (least id of its cluster), links (array of from, to, keys; on the component's first row only).
 
-    The order of joins matters, so a run of a project's time line is solved in one task; runs are apart by more than the window, which
-    no link crosses, so that a large project is many tasks.
+    Whether a weak edge counts depends on those before it, so a run of a project's time line is decided in one task; runs are apart by more
+    than the window, which no edge crosses, so that a project is many tasks, each as large as its longest stretch of uninterrupted work.
+    The task only decides; further keys of an accepted pair, the first 32 in order, are gathered by an aggregation.
     """
-    runs = gap_components(atoms.select("project", "id", "ts", "owner"), ["project"], window_hours)
-    edges = candidates(atoms, bridge, window_hours)
-    placed = edges.join(runs.select("project", F.col("id").alias("to_id"), "component"), ["project", "to_id"])
-    rows = runs.select("project", "component", "id", "owner", F.lit(None).cast("int").alias("phase"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("to_id"), F.lit(None).cast("long").alias("gap_us"))
-    rows = rows.unionByName(placed.select("project", "component", F.col("from_id").alias("id"), F.lit(None).cast("string").alias("owner"), "phase", "key", "to_id", "gap_us"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, links = pdf[pdf["phase"].isna()], pdf[pdf["phase"].notna()]
-        order = []
-        for p, k, a, b, g in zip(links["phase"], links["key"], links["id"], links["to_id"], links["gap_us"], strict=True):
-            order.append((int(p), 0 if p == 2 else int(g), k, int(g) if p == 2 else 0, a, b))
-        owners = {i: (o if isinstance(o, str) else None) for i, o in zip(nodes["id"], nodes["owner"], strict=True)}
-        comp, kept = join_in_order([(p, k, a, b) for p, _, k, _, a, b in sorted(order)], owners)
-        of: dict[str, list] = {}
-        for a, b, keys in kept:
-            of.setdefault(comp[a], []).append({"from": a, "to": b, "keys": keys})
-        return pd.DataFrame({"project": nodes["project"].iloc[0], "id": list(comp), "component": list(comp.values()), "links": [of.get(i, []) if comp[i] == i else [] for i in comp]})
-
-    return rows.groupBy("project", "component").applyInPandas(solve, "project string, id string, component string, links array<struct<`from`: string, `to`: string, keys: array<string>>>")
+    runs, edges = forest_runs(atoms, bridge, window_hours)
+    none = lambda kind: F.lit(None).cast(kind)
+    nodes = runs.select("project", "run", "id", "owner", none("int").alias("phase"), none("int").alias("place"), none("string").alias("to_id"))
+    rows = nodes.unionByName(edges.select("project", "run", F.col("from_id").alias("id"), none("string").alias("owner"), "phase", "place", "to_id"))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, links = pdf[pdf["phase"].isna()], pdf[pdf["phase"].notna()].sort_values("place")
+        owners = {i: (o if isinstance(o, str) else None) for i, o in zip(own["id"], own["owner"], strict=True)}
+        tree, made = tree_edges(list(zip(links["phase"].astype(int), links["id"], links["to_id"], strict=True)), owners)
+        places = links["place"].astype("int64").iloc[made].tolist()
+        first = {"project": pdf["project"].iloc[0], "run": pdf["run"].iloc[0]}
+        out = [pd.DataFrame({"id": list(tree), "component": list(tree.values()), "place": None})]
+        if places:
+            out.append(pd.DataFrame({"id": links["id"].iloc[made].tolist(), "component": [tree[i] for i in links["id"].iloc[made]], "place": places}))
+        return pd.concat(out).assign(**first)[["project", "run", "id", "component", "place"]]
+
+    decided = rows.groupBy("project", "run").applyInPandas(decide, "project string, run long, id string, component string, place int")
+    # The keys of a pair: that it was accepted by, then those of its later candidates, without lineage; 32 at most.
+    ends = lambda a, b: (F.least(a, b).alias("from"), F.greatest(a, b).alias("to"))
+    made = decided.where("place is not null").select("project", "run", "component", F.col("place").alias("made"))
+    pairs = edges.select("project", "run", "place", "phase", "key", *ends("from_id", "to_id"))
+    accepted = pairs.join(made, (pairs["project"].eqNullSafe(made["project"])) & (pairs["run"] == made["run"]) & (pairs["place"] == made["made"]))
+    accepted = accepted.select(pairs["project"], "from", "to", "component", "made")
+    later = pairs.join(accepted.withColumnsRenamed({"project": "p", "from": "f", "to": "t"}), F.col("project").eqNullSafe(F.col("p")) & (F.col("from") == F.col("f")) & (F.col("to") == F.col("t")))
+    later = later.where((F.col("place") == F.col("made")) | ((F.col("place") > F.col("made")) & (F.col("phase") < LINEAGE)))
+    keys = later.groupBy("project", "component", "from", "to").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("k"))
+    keys = keys.select("project", "component", F.struct("from", "to", F.array_sort(F.slice(F.array_distinct("k.key"), 1, MAX_ARTIFACTS)).alias("keys")).alias("link"))
+    links = keys.groupBy("project", "component").agg(F.array_sort(F.collect_list("link")).alias("links")).withColumnsRenamed({"project": "p", "component": "c"})
+    members = decided.where("place is null").select("project", "id", "component")
+    out = members.join(links, F.col("project").eqNullSafe(F.col("p")) & (F.col("id") == F.col("c")), "left")
+    empty = F.array().cast("array<struct<`from`: string, `to`: string, keys: array<string>>>")
+    return out.select("project", "id", "component", F.coalesce("links", empty).alias("links"))
+
+
+def without_redundant(links: Column, role) -> Column:
+    """The links with a key that stands for work, or for what is not known; those of scopes and sessions alone go."""
+    return F.filter(links, lambda e: (F.size(e["keys"]) == 0) | F.exists(e["keys"], lambda k: ~role(k).isin("scope", "session")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..operators import clusters, groups, topology, turns
 from ..sources import ledger as L
+from ..sources import workspace
 from . import normalization
 
 T0, T1 = datetime(2024, 1, 5), datetime(2024, 1, 12)
@@ -21,6 +22,7 @@ GAP_HOURS = 4.0
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of the events table, ingested and written once for the application, so that every query reads its columns."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("bigint")
     m = F.col("event_id") % 5
@@ -38,7 +40,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit('{"project_key": null, "session_id": "s1"}'))
     )
     out = e.select(F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("seq"), source.alias("source"), "ts", "user_id", "event_type", "value", k.alias("k"), meta.alias("metadata"))
-    return L.ingested(out)
+    return workspace.materialized(spark, "ledger", [f"{sf_dir}/events.parquet"], lambda: L.ingested(out), ("app",))
 
 
 LEDGER_SQL = r"""ledger AS (SELECT CAST(event_id AS VARCHAR) AS id, event_id AS seq, ts, user_id, event_type, value, k,
@@ -99,7 +101,7 @@ def components(spark, sf_dir) -> DataFrame:
 
 UNTIL = "timestamp_ntz'2024-01-30 00:00:00'"
 SIGNALS_SQL = """signals AS (SELECT cluster, count(*) AS size, median(epoch_us(TIMESTAMP '2024-01-30') - epoch_us(ts)) AS median_age,
-  bool_or(epoch_us(TIMESTAMP '2024-01-30') - epoch_us(ts) BETWEEN 0 AND 86400000000) AS recent, count(*) >= 5 AS dense, count(DISTINCT app) >= 3 AS cross_tool, min(id) AS first_id FROM comp GROUP BY cluster)"""
+  bool_or(epoch_us(TIMESTAMP '2024-01-30') - epoch_us(ts) BETWEEN 0 AND 3600000000) AS recent, count(*) >= 5 AS dense, count(DISTINCT app) >= 3 AS cross_tool, false AS has_git, false AS own_recent, min(id) AS first_id FROM comp GROUP BY cluster)"""
 
 
 def signals(spark, sf_dir) -> DataFrame:
@@ -175,7 +177,8 @@ def _catalogue() -> dict:
     ids = ["7", "3", "7", "absent", "42", "11"]
     q["multi_get_ordered"] = (lambda s, d: L.multi_get(led(s, d), ids).select("pos", *BASE)), _q(f"SELECT pos, {COLS} FROM ledger JOIN (SELECT CAST(unnest(range(6)) AS INTEGER) AS pos, unnest(['7', '3', '7', 'absent', '42', '11']) AS want) ON id = want")
     q["missing_ids"] = (lambda s, d: s.sql("SELECT explode(array('7','absent','42','gone')) AS id").join(led(s, d).select("id"), "id", "left_anti")), _q("SELECT want AS id FROM (SELECT unnest(['7', 'absent', '42', 'gone']) AS want) WHERE want NOT IN (SELECT id FROM ledger)")
-    q["dedupe_ids"] = (lambda s, d: L.new_rows(led(s, d).select((L.dedupe_id(F.concat("event_type", F.lit("/"), F.col("k").cast("string")))).alias("id"), "seq"), led(s, d).select("id"))), _q("SELECT 'dedupe:v1:' || sha256('echo-context:event-dedupe:v1' || chr(0) || event_type || '/' || k) AS id, min(seq) AS seq FROM ledger GROUP BY event_type, k")
+    keyed = lambda s, d: led(s, d).select(L.dedupe_id(F.concat("event_type", F.lit("/"), F.col("k").cast("string"))).alias("id"), "seq", "k")
+    q["dedupe_ids"] = (lambda s, d: L.new_rows(keyed(s, d).drop("k"), keyed(s, d).where("k < 30").select("id"))), _q("SELECT 'dedupe:v1:' || sha256('ledgerloom:event-dedupe:v1' || chr(0) || event_type || '/' || k) AS id, min(seq) AS seq FROM ledger WHERE (event_type, k) NOT IN (SELECT event_type, k FROM ledger WHERE k < 30) GROUP BY event_type, k")
     q["source_normalize"] = (lambda s, d: led(s, d).select("id", "source_key", "family_mask", paths.source_app(F.col("source")).alias("app"))), _q("SELECT id, source_key, family_mask, CASE family_mask WHEN 2 THEN 'claude_code' WHEN 4 THEN 'codex' WHEN 8 THEN 'git' WHEN 16 THEN 'granola' END AS app FROM ledger")
     q["path_dot_segments"] = (lambda s, d: led(s, d).where("has_repo_root").select("id", paths.dot_free(F.col("m_repo_root")).alias("path"))), _q("SELECT id, '/work/r' || (k % 6) || '/lib' AS path FROM ledger WHERE k % 4 = 2")
     q["canonical_timestamp"] = (lambda s, d: led(s, d).select("id", text.iso_millis(F.col("ts")).alias("ts_text"))), _q(f"SELECT id, {ISO % 'ts'} AS ts_text FROM ledger")
@@ -201,8 +204,8 @@ def _catalogue() -> dict:
     q["hint_first_resolver"] = (lambda s, d: clusters.first_resolver(atoms(s, d), ["user_id"], F.col("app") == "error", F.col("app") == "purchase", ["ts", "id"]).select("id", "resolver")), f"WITH {ATOMS_SQL} SELECT id, resolver FROM (SELECT id, app, first_value(CASE WHEN app = 'purchase' THEN id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS resolver FROM atoms) WHERE app = 'error'"
     q["logical_turns"] = (lambda s, d: turns.logical_turns(_turn_rows(s, d)).select("logical_turn_id", "id", "observed_ts", "raw_observation_count", "inherited_only")), f"WITH {TURNS_SQL} SELECT * FROM turns"
     q["logical_turn_counters"] = (lambda s, d: turns.turn_counters(turns.logical_turns(_turn_rows(s, d)))), f"WITH {TURNS_SQL} SELECT CAST(sum(raw_observation_count) AS BIGINT) AS raw, count(*) AS logical, CAST(sum(raw_observation_count) - count(*) AS BIGINT) AS collapsed, CAST(coalesce(sum(raw_observation_count) FILTER (inherited_only), 0) AS BIGINT) AS inherited_only FROM turns"
-    q["discovery_groups"] = (lambda s, d: groups.discovery_groups(_group_atoms(s, d)).withColumn("group_id", groups.group_id("project", F.col("group_key")))), f"WITH {GROUPS_SQL} SELECT group_key, count(*) AS turns, CAST(sum(raw) AS BIGINT) AS raw_observations, CAST(sum(raw) - count(*) AS BIGINT) AS collapsed, count(DISTINCT thread) AS threads, min(ts) AS ts_from, max(ts) AS ts_to, 'grp_project_' || substr(sha256('\"' || group_key || '\"'), 1, 16) AS group_id FROM g GROUP BY group_key"
-    q["representatives"] = (lambda s, d: groups.member_order(_group_atoms(s, d)).where("representative").select("group_key", "id", "place")), f"WITH {MEMBERS_SQL} SELECT group_key, id, CAST(p AS INTEGER) AS place FROM pick WHERE p <= 3"
+    q["discovery_groups"] = (lambda s, d: groups.discovery_groups(_group_atoms(s, d)).withColumn("by_app", F.to_json("by_app")).withColumn("group_id", groups.group_id("project", F.col("group_key")))), f"WITH {GROUPS_SQL} SELECT group_key, count(*) AS turns, CAST(sum(raw) AS BIGINT) AS raw_observations, CAST(sum(raw) - count(*) AS BIGINT) AS collapsed, count(DISTINCT thread) AS threads, min(ts) AS ts_from, max(ts) AS ts_to, any_value(by_app) AS by_app, 'grp_project_' || substr(sha256('\"' || group_key || '\"'), 1, 16) AS group_id FROM g JOIN (SELECT group_key, '{{' || string_agg('\"' || app || '\":' || n, ',' ORDER BY app) || '}}' AS by_app FROM (SELECT group_key, app, count(*) AS n FROM g GROUP BY ALL) GROUP BY group_key) USING (group_key) GROUP BY group_key"
+    q["representatives"] = (lambda s, d: groups.representatives(_group_atoms(s, d)).select("group_key", "id", "place")), f"WITH {MEMBERS_SQL} SELECT group_key, id, CAST(p AS INTEGER) AS place FROM pick WHERE p <= 3"
     q["member_order"] = (lambda s, d: groups.member_order(_group_atoms(s, d)).select("group_key", "id", "place")), f"WITH {MEMBERS_SQL} SELECT group_key, id, CAST(row_number() OVER (PARTITION BY group_key ORDER BY p <= 3 DESC, CASE WHEN p <= 3 THEN p END, ts DESC, id) AS INTEGER) AS place FROM pick"
     q["mru_per_source"] = (lambda s, d: led(s, d).groupBy("source").agg(F.max_by("id", F.struct("ts", "id")).alias("id"), F.max("ts").alias("ts"))), _q("SELECT source, arg_max(id, (ts, id)) AS id, max(ts) AS ts FROM ledger GROUP BY source")
     poll = lambda: Window.orderBy("ts")
