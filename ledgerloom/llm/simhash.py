@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_values, connected_components, shuffle_width, signed, written
+from .shared import byte_values, connected_components, release, shuffle_width, signed, written
 
 #: A run of fingerprints up to this long is compared directly; a longer one by looking up every flip of up to ``radius`` bits.
 DIRECT_RUN = 2048
@@ -79,21 +79,16 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def linked_labels(run: np.ndarray, radius: int, free_bits: int, direct: int = DIRECT_RUN, wide: np.ndarray | None = None, limit: int = 0) -> np.ndarray:
+def linked_labels(run: np.ndarray, radius: int, free_bits: int, direct: int = DIRECT_RUN) -> np.ndarray:
     """For sorted distinct fingerprints: the index of the first one in the same component by links of up to ``radius`` bits.
 
-    With ``wide`` (further fingerprints, one row each), a link also needs up to ``limit`` differing bits over all of them and ``run``.
-    A run longer than ``direct`` is compared by flips of the free bits if ``radius`` is small, else block by block.
+    A run longer than ``direct`` is compared by flips of the free bits.
     """
     n = len(run)
     labels = np.arange(n)
 
     def near(a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
-        d = _popcount(run[a, None] ^ run[None, b])
-        i, j = np.nonzero(d <= radius)
-        if wide is not None:
-            k = d[i, j].astype(np.int64) + _popcount(wide[a][i] ^ wide[b][j]).sum(1, dtype=np.int64) <= limit
-            i, j = i[k], j[k]
+        i, j = np.nonzero(_popcount(run[a, None] ^ run[None, b]) <= radius)
         return i + (a.start or 0), j + (b.start or 0)
 
     def settle(pairs) -> None:
@@ -112,8 +107,6 @@ def linked_labels(run: np.ndarray, radius: int, free_bits: int, direct: int = DI
     if n <= direct:
         found = [near(slice(a, min(a + step, n)), slice(b, min(b + step, n))) for a in range(0, n, step) for b in range(a, n, step)]
         settle(lambda: found)
-    elif radius > 3 or wide is not None:
-        settle(lambda: (near(slice(a, min(a + step, n)), slice(b, min(b + step, n))) for a in range(0, n, step) for b in range(a, n, step)))
     else:
         bits = np.array([np.uint64(1) << np.uint64(i) for i in range(64) if free_bits >> i & 1], np.uint64)
         flips = [np.bitwise_or.reduce(bits[list(c)]) for r in range(1, radius + 1) for c in combinations(range(len(bits)), r)]
@@ -130,31 +123,29 @@ def linked_labels(run: np.ndarray, radius: int, free_bits: int, direct: int = DI
     return labels
 
 
-def links(classes: DataFrame, radius: int = 3, spare: int = 3, direct: int = DIRECT_RUN, wide: int = 0, limit: int = 0) -> DataFrame:
-    """A forest (columns a, b: nodes) that joins the same fingerprints as all links would. ``classes``: columns node, fp, one row per fp
-    (with ``wide``: also x1 to x<wide>, one row per combination).
+def links(classes: DataFrame, radius: int = 3, spare: int = 3, direct: int = DIRECT_RUN) -> DataFrame:
+    """A forest (columns a, b: nodes) that joins the same fingerprints as all links would. ``classes``: columns node, fp, one row per fp.
 
     Each fingerprint goes to every choice of ``spare`` blocks; those that agree there meet in one sorted run of a partition. A run
     holds distinct fingerprints only, so exact copies never swell it, and gives fewer edges than it has members.
     """
     spark = classes.sparkSession
     masks = block_masks(radius, spare)
-    more = [f"x{k + 1}" for k in range(wide)]
     table = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)])
-    rows = classes.select("node", "fp", *more, F.explode(table).alias("t")).select(F.col("t.i").alias("i"), F.col("t.key").alias("key"), "fp", "node", *more)
+    rows = classes.select("node", "fp", F.explode(table).alias("t")).select(F.col("t.i").alias("i"), F.col("t.key").alias("key"), "fp", "node")
     rows = rows.repartition(shuffle_width(spark), "i", "key").sortWithinPartitions("i", "key", "fp")
 
-    def solve(i: int, fp, node, *x):
+    def solve(i: int, fp, node):
         order = np.argsort(fp.view(np.uint64), kind="stable")
-        node, extra = node[order], np.stack([c[order].view(np.uint64) for c in x], 1) if x else None
-        lab = linked_labels(fp[order].view(np.uint64), radius, ~masks[i] & (1 << 64) - 1, direct, extra, limit)
+        node = node[order]
+        lab = linked_labels(fp[order].view(np.uint64), radius, ~masks[i] & (1 << 64) - 1, direct)
         k = np.nonzero(lab != np.arange(len(lab)))[0]
         return node[k], node[lab[k]]
 
     def run(batches):
         held = None
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("i", "key", "fp", "node", *more)]
+            cols = [b.column(c).to_numpy() for c in ("i", "key", "fp", "node")]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
             i, key = cols[:2]
@@ -170,9 +161,7 @@ def links(classes: DataFrame, radius: int = 3, spare: int = 3, direct: int = DIR
         sizes = np.diff(edge)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         two = edge[:-1][sizes == 2]
-        d = _popcount(cols[0][two].view(np.uint64) ^ cols[0][two + 1].view(np.uint64)).astype(np.int64)
-        all_ = d + sum(_popcount(x[two].view(np.uint64) ^ x[two + 1].view(np.uint64)).astype(np.int64) for x in cols[2:])
-        two = two[(d <= radius) & (all_ <= limit if more else True)]
+        two = two[_popcount(cols[0][two].view(np.uint64) ^ cols[0][two + 1].view(np.uint64)) <= radius]
         a.append(cols[1][two + 1])
         b.append(cols[1][two])
         for s, m in zip(edge[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
@@ -206,65 +195,146 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = 3, spare: int
     return out
 
 
-#: keep_one: further fingerprints, blocks of all their bits, bits that may differ in the first and over all of them. Texts whose shingle
-#: sets have a Jaccard similarity of 0.8 differ in 0.152 of the bits on average (48.5 of 320, deviation 6.4), and agree on one of the
-#: blocks of 10 bits with a chance of 0.999; those of up to 31 bits always do.
-WIDE, BLOCKS, RADIUS, LIMIT = 4, 32, 24, 72
+#: keep_one: fingerprints beside the first (all of them give block keys, the first two are compared), and bits that may differ in those
+#: two. Texts whose shingle sets have a Jaccard similarity of 0.8 differ in 0.152 of the bits on average (19.4 of 128, deviation 4.1), with
+#: a deviation of 0.02 over all 320; DIFFER is two of these more.
+WIDE, RADIUS, DIFFER = 4, 34, 0.192
+#: Chance that a pair with so many differing bits shares a block, by which the number of blocks is chosen; rows that a block's run has of
+#: unrelated texts, about; run up to which all of its rows are compared.
+RECALL, RUN, COMPARED = 0.98, 4, 1024
+#: Blocks at least; few texts cost little.
+LEAST_BLOCKS = 64
 #: Least Jaccard similarity of the shingle sets, as a fraction.
 LEAST = (4, 5)
 
 
-def block_keys(prints: np.ndarray) -> np.ndarray:
-    """The blocks (rows x BLOCKS) of the bits of all fingerprints (rows x 1 + WIDE)."""
-    bits = np.unpackbits(np.ascontiguousarray(prints).astype(">u8").view(np.uint8).reshape(len(prints), -1), axis=1)
-    return bits.reshape(len(prints), BLOCKS, -1) @ (1 << np.arange(bits.shape[1] // BLOCKS))
+class Blocks:
+    """Choices of bits of the fingerprints of which similar texts agree on one. With more texts a block has more bits, so that the runs of a
+    block stay as short, and there are more blocks, about n ** 0.24."""
 
+    def __init__(self, n: int, seed: int = 3):
+        self.bits = min(40, max(8, int(np.ceil(np.log2(max(n, 2) / RUN)))))
+        each = (1 - DIFFER) ** self.bits
+        self.n = max(LEAST_BLOCKS, int(np.ceil(np.log(1 - RECALL) / np.log(1 - each))))
+        rng = np.random.default_rng(seed)
+        self.chosen = np.stack([rng.permutation(64 * (1 + WIDE))[: self.bits] for _ in range(self.n)])
 
-def candidates(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Pairs a < b of nodes (columns node, fp, x1 to x<WIDE>) that agree on a block and differ in up to ``limit`` bits: once each, in the first block they share."""
+    def keys(self, prints: np.ndarray) -> np.ndarray:
+        """The block keys (rows x blocks) of fingerprints (rows x 1 + WIDE), each with its block's number above its bits."""
+        bits = np.unpackbits(np.ascontiguousarray(prints).astype(">u8").view(np.uint8).reshape(len(prints), -1), axis=1)
+        out = np.zeros((len(prints), self.n), np.int64)
+        for k in range(self.bits):
+            out = out * 2 + bits[:, self.chosen[:, k]]
+        return out + (np.arange(self.n, dtype=np.int64) << self.bits)
+
+
+def compared(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of rows that differ in up to RADIUS bits, and in how many."""
+    d = _popcount(x[i] ^ x[j]).astype(np.int64) + _popcount(y[i] ^ y[j])
+    k = d <= RADIUS
+    return i[k], j[k], d[k]
+
+
+def pairs_in_runs(key: np.ndarray, comp: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int = 9):
+    """(i, j, bits that differ) of rows with one key (rows come in order of it) but of different components.
+
+    All pairs of short runs are compared, row by row distance. In a long run (a group of near-copies, most of which are one component by
+    then, or a block that much text shares) the rows of its largest component are compared with the others only; and if those are many,
+    the run is dealt by further bits into shorter ones, as often as recall asks for.
+    """
+    edge = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
+    size = np.repeat(np.diff(edge), np.diff(edge))
+    rows, step = np.nonzero(size <= COMPARED)[0], 1
+    while len(rows):
+        rows = rows[rows + step < len(key)]
+        rows = rows[key[rows] == key[rows + step]]
+        apart = rows[comp[rows] != comp[rows + step]]
+        yield compared(apart, apart + step, x, y)
+        step += 1
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if b - a > COMPARED:
+            names, inverse, n = np.unique(comp[a:b], return_inverse=True, return_counts=True)
+            inside = np.arange(a, b)
+            few = inside[inverse != n.argmax()]
+            if len(few) <= COMPARED:
+                for at in range(0, len(few), 64):
+                    i, j = np.repeat(few[at : at + 64], b - a), np.tile(inside, len(few[at : at + 64]))
+                    k = comp[i] != comp[j]
+                    yield compared(i[k], j[k], x, y)
+                continue
+            rng = np.random.default_rng(seed)
+            more = int(np.ceil(np.log2((b - a) / COMPARED))) + 2
+            bits = np.unpackbits(np.stack([x[a:b], y[a:b]], 1).astype(">u8").view(np.uint8).reshape(b - a, -1), axis=1)
+            for _ in range(int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - DIFFER) ** more)))):
+                own = bits[:, rng.permutation(128)[:more]] @ (1 << np.arange(more))
+                order = np.argsort(own, kind="stable")
+                line, own = inside[order], own[order]
+                # Rows that agree on these bits too are compared with the COMPARED next ones of their run.
+                left = np.arange(len(own))
+                for step in range(1, COMPARED):
+                    left = left[left + step < len(own)]
+                    left = left[own[left] == own[left + step]]
+                    if not len(left):
+                        break
+                    i, j = line[left], line[left + step]
+                    k = comp[i] != comp[j]
+                    yield compared(i[k], j[k], x, y)
+
+
+def candidates(classes: DataFrame, blocks: Blocks, nearest: bool) -> DataFrame:
+    """Pairs a < b of nodes (columns node, comp, fp, x1 to x<WIDE>) of different components that agree on a block and differ in up to RADIUS
+    bits: all of them, or with ``nearest`` of each run and node the nearest one of the nodes below it (columns a, b, d)."""
     names = ["fp", *[f"x{k + 1}" for k in range(WIDE)]]
 
     def spread(batches):
         for b in batches:
-            keys = block_keys(np.stack([b.column(c).to_numpy().view(np.uint64) for c in names], 1)) if b.num_rows else np.zeros((0, BLOCKS), np.int64)
-            for i in range(BLOCKS):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, i] + (i << 16), pa.int64()), *[b.column(c) for c in ("node", *names)]], ["key", "node", *names])
-
-    columns = ", ".join(f"{c} long" for c in ("key", "node", *names))
-    rows = classes.select("node", *names).mapInArrow(spread, columns).repartition(shuffle_width(classes.sparkSession), "key").sortWithinPartitions("key")
-
-    def pairs(key: int, node: np.ndarray, prints: np.ndarray):
-        own, step = block_keys(prints), 1024
-        for a in range(0, len(node), step):
-            for b in range(a, len(node), step):
-                i, j = np.nonzero(_popcount(prints[a : a + step, None, 0] ^ prints[None, b : b + step, 0]) <= RADIUS)
-                i, j = i + a, j + b
-                i, j = i[i < j], j[i < j]
-                k = _popcount(prints[i] ^ prints[j]).sum(1, dtype=np.int64) <= limit
-                i, j = i[k], j[k]
-                k = (own[i] == own[j]).argmax(1) == key >> 16
-                i, j = node[i[k]], node[j[k]]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                keys = blocks.keys(np.stack([part.column(c).to_numpy().view(np.uint64) for c in names], 1))
+                n = keys.shape[1]
+                cols = [np.repeat(part.column(c).to_numpy(), n) for c in ("node", "comp", "fp", "x1")]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, cols)], ["key", "node", "comp", "fp", "x1"])
+
+    columns = "key long, node long, comp long, fp long, x1 long"
+    rows = classes.select("node", "comp", *names).mapInArrow(spread, columns).repartition(shuffle_width(classes.sparkSession), "key").sortWithinPartitions("key")
 
     def run(batches):
         held = None
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("key", "node", *names)]
+            cols = [b.column(c).to_numpy() for c in ("key", "node", "comp", "fp", "x1")]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
-            edge = np.concatenate([[0], np.nonzero(cols[0][1:] != cols[0][:-1])[0] + 1])
-            held = [c[edge[-1] :].copy() for c in cols]
-            yield from runs(cols, edge)
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            held = [c[last:].copy() for c in cols]
+            yield from found([c[:last] for c in cols])
         if held is not None:
-            yield from runs(held, np.array([0, len(held[0])]))
-
-    def runs(cols, edge):
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if b - a > 1:
-                yield from pairs(int(cols[0][a]), cols[1][a:b], np.stack([c[a:b].view(np.uint64) for c in cols[2:]], 1))
-
-    return rows.mapInArrow(run, "a long, b long")
+            yield from found(held)
+
+    def found(cols):
+        if len(cols[0]) < 2:
+            return
+        key, node, comp = cols[:3]
+        best: list[tuple] = []
+        for i, j, d in pairs_in_runs(key, comp, cols[3].view(np.uint64), cols[4].view(np.uint64)):
+            if not len(i):
+                continue
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            if nearest:
+                order = np.lexsort((a, d, b))
+                first = order[np.concatenate([[True], b[order][1:] != b[order][:-1]])]
+                a, b, d = a[first], b[first], d[first]
+            best.append((a, b, d))
+            if sum(len(x[0]) for x in best) > 1 << 18:
+                yield _pairs(best)
+                best = []
+        if best:
+            yield _pairs(best)
+
+    return rows.mapInArrow(run, "a long, b long, d long")
+
+
+def _pairs(parts: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)], ["a", "b", "d"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -292,8 +362,9 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id, then text hash (null ids come last).
 
     Links are pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, checked on the sets; the pairs to check
-    come from fingerprints. Texts without words are one group. Rows that repeat both doc_id and text stay or go together. All columns
-    pass through; an empty table gives none.
+    come from blocks of fingerprints. First each text is checked against the nearest ones that it meets, one a text; then all pairs that
+    still would join two components. Texts without words are one group. Rows that repeat both doc_id and text stay or go together. All
+    columns pass through; an empty table gives none.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     more = [f"x{k + 1}" for k in range(WIDE)]
@@ -310,19 +381,31 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(t, words).astype("<u8").tobytes() for t in byte_values(b.column("text"))], pa.binary())], ["node", "s"])
 
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     fps = written(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "h", "node", "fp", *more))), "fingerprints")
     classes = written(fps.groupBy("node").agg(*[F.min(c).alias(c) for c in ("h", "fp", *more)]), "classes")
-    pairs = written(candidates(classes), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = rows.select("text", "h").join(classes.join(nodes, "node", "left_semi").select("node", "h"), "h")
-    sets = written(wanted.select("node", "text").mapInArrow(run_sets, "node long, s binary").dropDuplicates(["node"]), "sets")
-    # One pair of each node first; then only those that would still join two components.
-    edges = written(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets), "edges")
-    comps = connected_components(edges)
-    side = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    rest = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    comps = connected_components(edges.unionByName(written(verified(rest, sets), "edges")))
+    blocks = Blocks(classes.count())
+    near = candidates(classes.withColumn("comp", F.col("node")), blocks, nearest=True)
+    near = written(near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b"), "pairs")
+
+    def of_pairs(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = rows.select("text", "h").join(classes.join(nodes, "node", "left_semi").select("node", "h"), "h").dropDuplicates(["node"])
+        return written(wanted.select("node", "text").mapInArrow(run_sets, "node long, s binary"), "sets")
+
+    sets = of_pairs(near)
+    edges = written(verified(near, sets), "edges")
+    release(spark, sets)
+    comps = written(connected_components(edges), "components")
+    placed = classes.join(comps, "node", "left").select(*classes.columns, F.coalesce("component", "node").alias("comp"))
+    rest = candidates(placed, blocks, nearest=False).select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
+    rest = written(rest, "pairs")
+    release(spark, near)
+    if not rest.isEmpty():
+        sets = of_pairs(rest)
+        comps = connected_components(edges.unionByName(written(verified(rest, sets), "edges")))
+        release(spark, sets)
     placed = fps.select("node", "doc_id", "h", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("o"))
     placed = placed.join(comps, "node", "left").select(F.coalesce("component", "node").alias("c"), "doc_id", "h", "o")
     least = placed.groupBy("c").agg(F.min("o").alias("o"))
