@@ -1,16 +1,22 @@
 """Removal of repeated passages by bucket-pointer refinement over sampled suffixes.
 
-A suffix array to the depth of ``length`` bytes would sort every position; here only the suffixes that can start a bucket are sorted.
-Each window of ``length`` bytes owns one anchor, the q-gram in it with the least hash (the leftmost of equals), which depends on nothing
-outside the window: equal windows have equal anchors at equal offsets. So
+Every position of a text has the identifier of its q-gram bucket. A bucket of longer strings is refined by the identifiers at later offsets:
+that of 2q bytes at p is made of those of q bytes at p and at p + q, that of 4q of those of 2q at p and p + 2q, and so on; any other length
+of two that overlap. Each level reuses the one before (Karp, Miller and Rosenberg's naming). Identifiers are 64-bit hashes of the pair instead
+of ranks, so that they are the same in all texts without a global sort, which would shuffle every position many times over.
+
+To end early, only the suffixes that can start a bucket go through the shuffles. Each window of ``length`` bytes owns one anchor, the q-gram
+in it with the least identifier (the leftmost of equals), which depends on nothing outside the window: equal windows have equal anchors at
+equal offsets. So
 
 1. the anchors, one or two of a hundred positions, are dealt into initial q-gram buckets; buckets of one end there;
-2. a bucket is refined by the identifiers of later offsets: the segment hash of an anchor stands for all the windows that own it. If a
-   segment identifier comes twice, all its windows repeat, and it ends there;
-3. a bucket of different segments is refined by the bytes to half a window before and behind its anchor, one of which is in every window;
+2. a bucket is refined by the identifiers of its anchors' segments (all the windows that own one). If a segment comes twice, all its windows
+   repeat, and it ends there;
+3. a bucket of different segments is refined by the identifiers to half a window before and behind its anchor, one of which is in every window;
 4. where those are in different segments, the windows they are in are refined to single offsets, and equal ones repeat.
 
-Counts are combined before every shuffle, and joins are plain equi-joins, so that neither hot passages nor groups of copies meet in one task.
+Counts are combined before every shuffle, and joins are plain equi-joins between written tables, which skew handling can split, so that
+neither hot passages nor groups of copies meet in one task.
 """
 
 from __future__ import annotations
@@ -26,42 +32,48 @@ from pyspark.sql import functions as F
 from .shared import byte_values, release, written
 
 LENGTH, Q = 200, 32
+#: Texts longer than this are cut into blocks for their anchors.
+BLOCK = 1 << 22
 _BYTES = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    if n > 1:
-        out[1:] = np.uint64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
 
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The identifiers of pairs of identifiers, in order."""
+    h = a * np.uint64(0x9E3779B97F4A7C15)
+    h += b
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
 
+class Names:
+    """The bucket identifiers of a text: ``grams`` of every q-gram, and ``ranges`` of any longer strings by recursion on them."""
 
-class Hashes:
-    """64-bit hashes of any range of a text in constant time each."""
+    def __init__(self, text: bytes, q: int):
+        self.q, width = q, 1
+        h = _BYTES[np.frombuffer(text, np.uint8)]
+        while 2 * width <= q:
+            h = paired(h[: len(h) - width], h[width:])
+            width *= 2
+        self.grams = paired(h[: len(h) - (q - width)], h[q - width :]) if width < q else h
 
-    _forth, _back = _powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)
-
-    def __init__(self, text: bytes):
-        n = len(text)
-        if n >= len(Hashes._forth):
-            Hashes._forth, Hashes._back = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
-        self.n, self.sums = n, np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[np.frombuffer(text, np.uint8)] * Hashes._forth[:n], out=self.sums[1:])
+    def _power(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Identifiers of q * 2 ** k bytes."""
+        if not k:
+            return self.grams[at]
+        return paired(self._power(at, k - 1), self._power(at + (self.q << (k - 1)), k - 1))
 
     def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[stop] - self.sums[start]) * Hashes._back[start] + (stop - start).astype(np.uint64))
-
-    def grams(self, q: int) -> np.ndarray:
-        n = self.n - q + 1
-        return mixed((self.sums[q:] - self.sums[:n]) * Hashes._back[:n] + np.uint64(q))
+        n = stop - start
+        level = np.frexp(n / self.q)[1] - 1
+        out = np.empty(len(n), np.uint64)
+        for k in np.unique(level).tolist():
+            i = np.nonzero(level == k)[0]
+            out[i] = paired(self._power(start[i], k), self._power(stop[i] - (self.q << k), k) + n[i].astype(np.uint64))
+        return out
 
 
 def leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
@@ -78,17 +90,30 @@ def leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(text: bytes, length: int = LENGTH, q: int = Q):
-    """The anchors of a text: bucket (hash of the q-gram), segment identifier, hashes to half a window before and behind (0: outside
-    the text), and first window start, anchor and last window start in one number each."""
-    hashes = Hashes(text)
-    grams = hashes.grams(q)
+    """The anchors of a text: bucket (identifier of the q-gram), identifier of the segment, those to half a window before and behind (0:
+    outside the text), and first window start, anchor and last window start in one number each."""
+    names = Names(text, q)
+    grams = names.grams
     at = leftmost_least(grams, length - q + 1)
     first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
     last = np.append(first[1:], len(at)) - 1
-    a, half = at[first], (length - q) // 2
-    before = np.where(a >= half, hashes.ranges(np.maximum(a - half, 0), a + q), np.uint64(0))
-    behind = np.where(a + q + half <= hashes.n, hashes.ranges(a, np.minimum(a + q + half, hashes.n)), np.uint64(0))
-    return grams[a].view(np.int64), hashes.ranges(first, last + length).view(np.int64), before.view(np.int64), behind.view(np.int64), first << 16 | (a - first) << 8 | (last - first)
+    a, half, n = at[first], (length - q) // 2, len(text)
+
+    def side(ok: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.uint64)
+        out[ok] = names.ranges(start[ok], stop[ok]) | np.uint64(1)
+        return out
+
+    before, behind = side(a >= half, a - half, a + q), side(a + q + half <= n, a, a + q + half)
+    return grams[a].view(np.int64), names.ranges(first, last + length).view(np.int64), before.view(np.int64), behind.view(np.int64), first << 16 | (a - first) << 8 | (last - first)
+
+
+def all_segments(text: bytes, length: int, q: int, block: int = BLOCK):
+    """``segments`` of a text, of a long one block by block. A segment that a block cuts is two; that is as good, as windows of different
+    segments are compared one by one."""
+    for at in range(0, max(1, len(text) - length + 1), block):
+        *names, where = segments(text[at : at + block + length - 1], length, q)
+        yield *names, where + (at << 16)
 
 
 def _key(text: str | Column) -> Column:
@@ -96,7 +121,7 @@ def _key(text: str | Column) -> Column:
     return F.xxhash64(text, F.octet_length(text))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int = BLOCK) -> DataFrame:
     """Columns k (the key of a text), spans (array of start, stop in bytes, in order, apart) of texts with repeated windows."""
     if not q <= length <= q + 254:
         raise ValueError("length must be from q to q + 254")
@@ -108,9 +133,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
         for b in batches:
             out, m = [], 0
             for k, text in zip(b.column("k").to_pylist(), byte_values(b.column("text")), strict=True):
-                own = segments(text, length, q)
-                out.append((*own, np.full(len(own[0]), k, np.int64)))
-                m += len(own[0])
+                for own in all_segments(text, length, q, block):
+                    out.append((*own, np.full(len(own[0]), k, np.int64)))
+                    m += len(own[0])
                 if m > 100_000:
                     yield _table(out, ["b", "s", "l", "r", "at", "k"])
                     out, m = [], 0
@@ -139,13 +164,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
             for k, text, own in zip(b.column("k").to_pylist(), byte_values(b.column("text")), b.column("asked").to_pylist(), strict=True):
                 if k == before:  # rows come in order of k, so that of a run of copies one is enough
                     continue
-                before, hashes = k, Hashes(text)
+                before, names = k, Names(text, q) if len(text) <= block else None
                 for x in own:
                     first, a, last = x["at"] >> 16, (x["at"] >> 16) + (x["at"] >> 8 & 0xFF), (x["at"] >> 16) + (x["at"] & 0xFF)
                     lo, hi = (first if x["l"] else max(first, a - half + 1)), (last if x["r"] else min(last, a - half))
                     if lo <= hi:
                         start = np.arange(lo, hi + 1)
-                        out.append((hashes.ranges(start, start + length).view(np.int64), np.full(len(start), x["s"], np.int64), start - first, np.full(len(start), x["once"])))
+                        here, off = (names, 0) if names is not None else (Names(text[lo : hi + length], q), lo)
+                        out.append((here.ranges(start - off, start - off + length).view(np.int64), np.full(len(start), x["s"], np.int64), start - first, np.full(len(start), x["once"])))
                 if len(out) > 1000:
                     yield _table(out, ["w", "s", "d", "once"])
                     out = []
@@ -175,8 +201,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     release(spark, refined, twice)
     runs = single.mapInArrow(runs_of, "s long, d long, m long").join(asked.where("once").select("s", "k", "at"), "s")
     runs = runs.select("k", ((F.shiftright("at", 16) + F.col("d")) * F.lit(1 << 16) + F.col("m")).alias("at"))
-    same = live.groupBy("b", "s").agg(F.count("*").alias("c")).where("c > 1").select("b", "s")
-    whole = live.join(same, ["b", "s"], "left_semi").select("k", "at").distinct()
+    # Written, so that the join deals its sides anew and a hot segment can be split.
+    same = written(live.groupBy("b", "s").agg(F.count("*").alias("c")).where("c > 1").select("b", "s"), "same")
+    whole = live.select("b", "s", "k", "at").join(same, ["b", "s"], "left_semi").select("k", "at").distinct()
     spans = whole.unionByName(runs).groupBy("k").agg(F.collect_set("at").alias("at"))
 
     def merged(batches):
@@ -190,7 +217,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(rows, kind)], ["k", "spans"])
 
     out = written(spans.mapInArrow(merged, "k long, spans array<struct<start: long, stop: long>>"), "spans")
-    release(spark, live, asked, single)
+    release(spark, live, asked, single, same)
     return out
 
 
@@ -213,17 +240,17 @@ def kept_bytes(text: bytes, spans) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
+def with_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int = BLOCK) -> DataFrame:
     """doc_id, text (null: empty) and spans (null: none), one row per row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("k", _key("text")).join(repeated_spans(docs, length, q), "k", "left").select("doc_id", "text", "spans")
+    return rows.withColumn("k", _key("text")).join(repeated_spans(docs, length, q, block), "k", "left").select("doc_id", "text", "spans")
 
 
-def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup_report(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> DataFrame:
     """Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``.
 
-    Every row counts as a text of its own, whatever its id: repeated rows repeat each other's passages. Null and short texts lose
-    nothing. An empty table gives none; other columns are ignored.
+    Every row counts as a text of its own, whatever its id, null or not: repeated rows repeat each other's passages. Null and short texts
+    lose nothing; very long ones are anchored block by block. An empty table gives none; other columns are ignored.
     """
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
@@ -236,13 +263,14 @@ def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names)
 
-    return with_spans(docs, length).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, length, block=block).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` without the repeated passages of ``text`` (and ``n_chars``, where there is one, set to the new length).
 
-    Passages are those of ``dedup_report``, each within whole characters. A null text stays null. All other columns pass through.
+    Passages are those of ``dedup_report``, all their copies, each within whole characters. A null text stays null, null and repeated ids are
+    rows like others. All other columns pass through, whatever their names; an empty table gives none.
     """
 
     @F.pandas_udf("string")
