@@ -32,33 +32,41 @@ from pyspark.sql import functions as F
 from .shared import byte_values, release, written
 
 LENGTH, Q = 200, 32
-#: Texts longer than this are cut into blocks for their anchors.
-BLOCK = 1 << 22
-_BYTES = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
+#: Texts longer than this are cut into blocks for their anchors; shorter ones are named together, about so many bytes.
+BLOCK, GROUP = 1 << 22, 1 << 16
 def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The identifiers of pairs of identifiers, in order."""
     h = a * np.uint64(0x9E3779B97F4A7C15)
     h += b
-    h ^= h >> np.uint64(29)
+    t = h >> np.uint64(29)
+    h ^= t
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    np.right_shift(h, np.uint64(32), out=t)
+    h ^= t
     h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
+    np.right_shift(h, np.uint64(31), out=t)
+    h ^= t
     return h
 
 
 class Names:
-    """The bucket identifiers of a text: ``grams`` of every q-gram, and ``ranges`` of any longer strings by recursion on them."""
+    """The bucket identifiers of a text: ``grams`` of every q-gram (q from 8), and ``ranges`` of any longer strings by recursion on them.
+
+    Eight bytes are their own identifier, a whole number.
+    """
 
     def __init__(self, text: bytes, q: int):
-        self.q, width = q, 1
-        h = _BYTES[np.frombuffer(text, np.uint8)]
+        self.q, width, n = q, 8, len(text) - 7
+        h = np.empty(n, np.uint64)
+        for k in range(min(8, n)):
+            h[k::8] = np.frombuffer(text, "<u8", (n - k + 7) // 8, k)
         while 2 * width <= q:
             h = paired(h[: len(h) - width], h[width:])
             width *= 2
-        self.grams = paired(h[: len(h) - (q - width)], h[q - width :]) if width < q else h
+        if width < q:
+            h = paired(h[: len(h) - (q - width)], h[q - width :])
+        #: Of q = 8 the identifiers are still the bytes, which are no random order for anchors.
+        self.grams = paired(h, h) if q == 8 else h
 
     def _power(self, at: np.ndarray, k: int) -> np.ndarray:
         """Identifiers of q * 2 ** k bytes."""
@@ -66,13 +74,16 @@ class Names:
             return self.grams[at]
         return paired(self._power(at, k - 1), self._power(at + (self.q << (k - 1)), k - 1))
 
-    def ranges(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        n = stop - start
-        level = np.frexp(n / self.q)[1] - 1
-        out = np.empty(len(n), np.uint64)
-        for k in np.unique(level).tolist():
-            i = np.nonzero(level == k)[0]
-            out[i] = paired(self._power(start[i], k), self._power(stop[i] - (self.q << k), k) + n[i].astype(np.uint64))
+    def ranges(self, start: np.ndarray, n: int | np.ndarray, least: int) -> np.ndarray:
+        """Identifiers of strings of n bytes, all from ``least`` to under four times the greatest power of two of q in that: of so many such
+        blocks as cover them evenly, two where n is one number, else four."""
+        k = (least // self.q).bit_length() - 1
+        spread, parts = n - (self.q << k), 1 if isinstance(n, int) and n <= self.q << (k + 1) else 3
+        at = np.concatenate([start + spread * i // parts for i in range(parts + 1)])
+        names = self._power(at, k).reshape(parts + 1, -1)
+        out = names[0] + (np.uint64(n) if isinstance(n, int) else n.astype(np.uint64))
+        for other in names[1:]:
+            out = paired(out, other)
         return out
 
 
@@ -89,31 +100,67 @@ def leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
     return (least & np.uint64((1 << 31) - 1)).astype(np.int64)
 
 
-def segments(text: bytes, length: int = LENGTH, q: int = Q):
-    """The anchors of a text: bucket (identifier of the q-gram), identifier of the segment, those to half a window before and behind (0:
-    outside the text), and first window start, anchor and last window start in one number each."""
-    names = Names(text, q)
-    grams = names.grams
-    at = leftmost_least(grams, length - q + 1)
-    first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
-    last = np.append(first[1:], len(at)) - 1
-    a, half, n = at[first], (length - q) // 2, len(text)
-
-    def side(ok: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def segments(texts: list[bytes], length: int = LENGTH, q: int = Q):
+    """The anchors of texts (of ``length`` bytes or more, in one buffer): bucket (identifier of the q-gram), identifier of the segment, those
+    to half a window before and behind (0: outside the text), first window start, anchor and last window start in one number, and the text."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.cumsum(sizes) - sizes
+    names = Names(b"".join(texts), q)
+    least = leftmost_least(names.grams, length - q + 1)
+    inside = np.ones(len(least), bool)
+    for e in begin[1:].tolist():
+        inside[e - length + 1 : e] = False
+    start, of = np.nonzero(inside)[0], np.repeat(np.arange(len(texts)), sizes - length + 1)
+    at = least[start]
+    new = np.nonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (of[1:] != of[:-1])]))[0]
+    a, of, first, last = at[new], of[new], start[new], start[np.append(new[1:], len(start)) - 1]
+    low, high, half = begin[of], (begin + sizes)[of], (length - q) // 2
+
+    def side(ok: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a), np.uint64)
-        out[ok] = names.ranges(start[ok], stop[ok]) | np.uint64(1)
-        return out
-
-    before, behind = side(a >= half, a - half, a + q), side(a + q + half <= n, a, a + q + half)
-    return grams[a].view(np.int64), names.ranges(first, last + length).view(np.int64), before.view(np.int64), behind.view(np.int64), first << 16 | (a - first) << 8 | (last - first)
-
-
-def all_segments(text: bytes, length: int, q: int, block: int = BLOCK):
-    """``segments`` of a text, of a long one block by block. A segment that a block cuts is two; that is as good, as windows of different
-    segments are compared one by one."""
-    for at in range(0, max(1, len(text) - length + 1), block):
-        *names, where = segments(text[at : at + block + length - 1], length, q)
-        yield *names, where + (at << 16)
+        out[ok] = names.ranges(at[ok], half + q, half + q) | np.uint64(1)
+        return out.view(np.int64)
+
+    before, behind = side(a - half >= low, a - half), side(a + q + half <= high, a)
+    segment = names.ranges(first, last + length - first, length).view(np.int64)
+    return names.grams[a].view(np.int64), segment, before, behind, (first - low) << 16 | (a - first) << 8 | (last - first), of
+
+
+def grouped(rows: list, size: int):
+    """Runs of rows (of which the first member is a text) of about ``size`` bytes together."""
+    held, n = [], 0
+    for r in rows:
+        held.append(r)
+        n += len(r[0])
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def all_segments(rows: list[tuple[bytes, int]], length: int, q: int, block: int = BLOCK):
+    """``segments`` of texts and their keys, many short ones at once, a long one block by block. A segment that a block cuts is two; that is as
+    good, as windows of different segments are compared one by one."""
+    for text, k in (r for r in rows if len(r[0]) > block):
+        for at in range(0, len(text) - length + 1, block):
+            *names, where, _ = segments([text[at : at + block + length - 1]], length, q)
+            yield *names, where + (at << 16), np.full(len(where), k, np.int64)
+    for part in grouped([r for r in rows if len(r[0]) <= block], GROUP):
+        *names, of = segments([t for t, _ in part], length, q)
+        yield *names, np.array([k for _, k in part], np.int64)[of]
+
+
+def asked_windows(text: bytes, begin: np.ndarray, asked: dict[str, np.ndarray], length: int, q: int) -> tuple[np.ndarray, ...]:
+    """The windows in a buffer that segments (each with its text's ``begin``) still ask for: identifiers, segments, offsets from their first
+    window, and whether the segment comes once."""
+    half = (length - q) // 2
+    first = (asked["at"] >> 16) + begin
+    a, last = first + (asked["at"] >> 8 & 0xFF), first + (asked["at"] & 0xFF)
+    lo, hi = np.where(asked["l"], first, np.maximum(first, a - half + 1)), np.where(asked["r"], last, np.minimum(last, a - half))
+    n = np.maximum(hi - lo + 1, 0)
+    start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return Names(text, q).ranges(start, length, length).view(np.int64), np.repeat(asked["s"], n), start - np.repeat(first, n), np.repeat(asked["once"], n)
 
 
 def _key(text: str | Column) -> Column:
@@ -123,8 +170,8 @@ def _key(text: str | Column) -> Column:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int = BLOCK) -> DataFrame:
     """Columns k (the key of a text), spans (array of start, stop in bytes, in order, apart) of texts with repeated windows."""
-    if not q <= length <= q + 254:
-        raise ValueError("length must be from q to q + 254")
+    if not 8 <= q <= length <= q + 254:
+        raise ValueError("q must be 8 at least, length from q to q + 254")
     spark, half = docs.sparkSession, (length - q) // 2
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     texts = texts.select(_key("text").alias("k"), "text")
@@ -132,22 +179,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int
     def anchors(batches):
         for b in batches:
             out, m = [], 0
-            for k, text in zip(b.column("k").to_pylist(), byte_values(b.column("text")), strict=True):
-                for own in all_segments(text, length, q, block):
-                    out.append((*own, np.full(len(own[0]), k, np.int64)))
-                    m += len(own[0])
+            for own in all_segments(list(zip(byte_values(b.column("text")), b.column("k").to_pylist(), strict=True)), length, q, block):
+                out.append(own)
+                m += len(own[0])
                 if m > 100_000:
                     yield _table(out, ["b", "s", "l", "r", "at", "k"])
                     out, m = [], 0
             if out:
                 yield _table(out, ["b", "s", "l", "r", "at", "k"])
 
-    found = texts.select("k", "text").mapInArrow(anchors, "b long, s long, l long, r long, at long, k long")
+    found = written(texts.select("k", "text").mapInArrow(anchors, "b long, s long, l long, r long, at long, k long"), "anchors")
     buckets = found.groupBy("b").agg(F.count("*").alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi"))
     buckets = written(buckets.where("c > 1").select("b", (F.col("lo") != F.col("hi")).alias("varied")), "buckets")
     release(spark)
-    live = written(found.join(buckets, "b"), "anchors")
-    release(spark, buckets)
+    live = written(found.join(buckets, "b"), "live")
+    release(spark, buckets, found)
     varied = live.where("varied")
     ahead, behind = (varied.where(f"{c} <> 0").groupBy(c).agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select(c, F.lit(True).alias(f"has_{c}")) for c in "lr")
     # One place of each segment stands for it; only segments that come once still need their windows looked up.
@@ -160,23 +206,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int
     def enumerate_windows(batches):
         before = None
         for b in batches:
-            out = []
-            for k, text, own in zip(b.column("k").to_pylist(), byte_values(b.column("text")), b.column("asked").to_pylist(), strict=True):
-                if k == before:  # rows come in order of k, so that of a run of copies one is enough
-                    continue
-                before, names = k, Names(text, q) if len(text) <= block else None
-                for x in own:
-                    first, a, last = x["at"] >> 16, (x["at"] >> 16) + (x["at"] >> 8 & 0xFF), (x["at"] >> 16) + (x["at"] & 0xFF)
-                    lo, hi = (first if x["l"] else max(first, a - half + 1)), (last if x["r"] else min(last, a - half))
-                    if lo <= hi:
-                        start = np.arange(lo, hi + 1)
-                        here, off = (names, 0) if names is not None else (Names(text[lo : hi + length], q), lo)
-                        out.append((here.ranges(start - off, start - off + length).view(np.int64), np.full(len(start), x["s"], np.int64), start - first, np.full(len(start), x["once"])))
-                if len(out) > 1000:
-                    yield _table(out, ["w", "s", "d", "once"])
-                    out = []
-            if out:
-                yield _table(out, ["w", "s", "d", "once"])
+            k, lists = b.column("k").to_numpy(), b.column("asked")
+            # Rows come in order of k, so that of a run of copies one is enough.
+            rows = np.nonzero(np.concatenate([[before is None or len(k) and k[0] != before], k[1:] != k[:-1]]))[0] if len(k) else []
+            before = k[-1] if len(k) else before
+            for part in grouped([(t, lists[i].values) for i, t in zip(rows, byte_values(b.column("text").take(pa.array(rows))), strict=True)] if len(rows) else [], GROUP):
+                texts = [t for t, _ in part]
+                own = pa.concat_arrays([x for _, x in part])
+                asked = {c: own.field(c).to_numpy(zero_copy_only=False) for c in ("at", "s", "once", "l", "r")}
+                sizes = np.array(list(map(len, texts)))
+                begin = np.repeat(np.cumsum(sizes) - sizes, [len(x) for _, x in part])
+                if len(texts) == 1 and sizes[0] > block:
+                    # Of a long text only the bytes around each question are named.
+                    first, last = asked["at"] >> 16, (asked["at"] >> 16) + (asked["at"] & 0xFF)
+                    for i in range(len(first)):
+                        one = {c: v[i : i + 1] for c, v in asked.items()}
+                        yield _table([asked_windows(texts[0][first[i] : last[i] + length], -first[i : i + 1], one, length, q)], ["w", "s", "d", "once"])
+                else:
+                    yield _table([asked_windows(b"".join(texts), begin, asked, length, q)], ["w", "s", "d", "once"])
 
     def runs_of(batches):
         """Runs of window starts as first and number of more."""

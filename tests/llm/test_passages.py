@@ -27,11 +27,20 @@ def test_names_are_equal_where_strings_are():
         names = suffix.Names(text, q)
         for n in (q, q + 1, 2 * q - 1, 2 * q, 5 * q + 3, 300):
             start = np.arange(len(text) - n + 1)
-            got = names.ranges(start, start + n)
+            got = names.ranges(start, n, n)
             want = [text[i : i + n] for i in start.tolist()]
             assert len(set(zip(got.tolist(), want, strict=True))) == len(set(got.tolist())) == len(set(want))
 
 
+def test_segments_of_many_texts_are_those_of_each():
+    rng = random.Random(33)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(rng.choice([200, 201, 350, 900]))) for _ in range(30)]
+    *whole, of = suffix.segments(texts)
+    for i, t in enumerate(texts):
+        *one, _ = suffix.segments([t])
+        assert all((w[of == i] == o).all() for w, o in zip(whole, one, strict=True))
+
+
 def test_removal_equals_brute_force_in_blocks(spark):
     rng = random.Random(32)
     shared = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (60, 200, 210, 400)]
