@@ -198,7 +198,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int
     ahead, behind = (varied.where(f"{c} <> 0").groupBy(c).agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select(c, F.lit(True).alias(f"has_{c}")) for c in "lr")
     # One place of each segment stands for it; only segments that come once still need their windows looked up.
     place = varied.groupBy("s").agg(F.count("*").alias("c"), F.min("l").alias("l"), F.min("r").alias("r"), F.min(F.struct("k", "at")).alias("p"))
-    asked = place.join(ahead, "l", "left").join(behind, "r", "left").where("has_l or has_r")
+    # Those at the edge of a text have no half there (0), and look up what no one has, each something else.
+    no_half = lambda c: F.when(F.col(c) != 0, F.col(c)).otherwise(F.xxhash64("s", F.lit(c)))
+    place = place.withColumns({"_l": no_half("l"), "_r": no_half("r")})
+    asked = place.join(ahead.withColumnRenamed("l", "_l"), "_l", "left").join(behind.withColumnRenamed("r", "_r"), "_r", "left")
+    asked = asked.withColumns({"has_l": F.col("has_l") & (F.col("l") != 0), "has_r": F.col("has_r") & (F.col("r") != 0)}).where("has_l or has_r")
     asked = asked.select("s", "p.k", "p.at", (F.col("c") == 1).alias("once"), F.coalesce("has_l", F.lit(False)).alias("l"), F.coalesce("has_r", F.lit(False)).alias("r"))
     asked = written(asked, "asked")
     release(spark)
