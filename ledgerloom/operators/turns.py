@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .normalize import LOGICAL_ID
+from .topology import in_text_order
+
 
 def logical_turns(observations: DataFrame) -> DataFrame:
     """Rows (provider, logical_turn_id, observation_kind, id, occurred_ts, observed_ts, ...) collapsed by (provider, logical_turn_id).
@@ -12,12 +15,12 @@ def logical_turns(observations: DataFrame) -> DataFrame:
     Only valid ids of original or inherited rows collapse; the others stay as they are. The row that stands for a turn is the first by
     kind (original, unknown, inherited), observed time and id; observed_ts becomes the latest, raw_observation_count their number.
     """
-    valid = F.col("logical_turn_id").rlike(r"\A[^\s\p{Cntrl}]{1,512}\z") & F.col("observation_kind").isin("original", "inherited")
+    valid = F.col("logical_turn_id").rlike(LOGICAL_ID) & F.col("observation_kind").isin("original", "inherited")
     rows = observations.withColumns({"observed_ts": F.coalesce("observed_ts", "occurred_ts"), "_keyed": F.coalesce(valid, F.lit(False))})
     names = [c for c in rows.columns if c != "_keyed"]
     rank = F.when(F.col("observation_kind") == "original", 0).when(F.col("observation_kind") == "inherited", 2).otherwise(1)
     keyed = rows.where("_keyed").groupBy("provider", "logical_turn_id").agg(
-        F.min_by(F.struct(*names), F.struct(rank, "observed_ts", "id")).alias("r"),
+        F.min_by(F.struct(*names), F.struct(rank, F.col("observed_ts"), in_text_order(F.col("id")))).alias("r"),
         F.max("observed_ts").alias("latest"),
         F.count("*").alias("raw_observation_count"),
         F.bool_and(F.col("observation_kind") == "inherited").alias("inherited_only"),

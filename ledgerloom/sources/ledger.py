@@ -107,7 +107,7 @@ class WrittenLedger:
             last = max((s for _, _, s in commits), default=0)
             numbered = dense_order(new_rows(rows, known), ["seq"]).withColumn("seq", F.col("_n") + last).drop("_n")
             numbered.sortWithinPartitions("app", "source", F.desc("ts"), F.desc("id")).write.partitionBy("app").parquet(f"{self.path}/data/{folder}")
-            count, top = self.spark.read.parquet(f"{self.path}/data/{folder}").agg(F.count("*"), F.max("seq")).first()
+            count, top = self.spark.read.schema(numbered.schema).parquet(f"{self.path}/data/{folder}").agg(F.count("*"), F.max("seq")).first()
             if self._commit(len(commits), {"folder": folder, "rows": count, "seq": top or last}):
                 return count
         raise RuntimeError("other writers kept committing first")

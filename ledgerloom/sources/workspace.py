@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,12 @@ def materialized(spark: SparkSession, name: str, inputs: list[str], build: Calla
         writer = build().write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(uri)
     return spark.read.parquet(uri)
+
+
+def materialized_rows(rows: DataFrame, label: str) -> DataFrame:
+    """The same rows, written once to the shared folder and read back: what follows reads them more than once, and lost executors never
+    replay what came before."""
+    spark = rows.sparkSession
+    uri = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    rows.write.parquet(uri)
+    return spark.read.schema(rows.schema).parquet(uri)
