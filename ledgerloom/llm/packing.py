@@ -1,9 +1,10 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-Pieces of documents are dealt into shards of bounded size. On every shard several islands evolve packings of the same pieces; after
-each epoch the elite of an island moves to the next one as a DataFrame exchange. A crossover injects whole well-filled bins of one
-parent into the other, drops the bins they collide with, and best-fits the displaced pieces. The least filled bins of all shards are
-pooled, and packed again in the same way.
+Pieces of documents are dealt into shards of bounded size. On every shard several islands evolve packings of the same pieces, each from
+groupings of its own; after each epoch the elite of an island moves to the next one as a DataFrame exchange. A crossover injects whole
+well-filled bins of one parent into the other, drops the bins they collide with, and best-fits the displaced pieces: first in exchange for
+one or two pieces of a bin that they fill better, then where they leave the least room. The least filled bins of all shards are pooled, and
+packed again in the same way. A packing of as few bins as the total allows ends the search.
 """
 
 from __future__ import annotations
@@ -87,48 +88,101 @@ def placed(order, sizes: list[int], capacity: int, bins: list[list[int]] = ()) -
     return p
 
 
-def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng) -> Packing:
-    """``a`` with some of the fullest bins of ``b`` injected whole; what they displace is best-fitted again, largest first."""
+class Loose:
+    """Items that are in no bin, by size, as bits of a number."""
+
+    def __init__(self, items, sizes: list[int]):
+        self.sizes, self.by_size, self.mask = sizes, {}, 0
+        for i in items:
+            self.add(i)
+
+    def add(self, i: int) -> None:
+        self.by_size.setdefault(self.sizes[i], []).append(i)
+        self.mask |= 1 << self.sizes[i]
+
+    def largest(self, room: int) -> int:
+        """The size of the largest item that fits (0: none does)."""
+        return max((self.mask & ((2 << room) - 1)).bit_length() - 1, 0)
+
+    def pop(self, size: int) -> int:
+        own = self.by_size[size]
+        i = own.pop()
+        if not own:
+            del self.by_size[size]
+            self.mask ^= 1 << size
+        return i
+
+    def items(self) -> list[int]:
+        return [i for own in self.by_size.values() for i in own]
+
+
+def refitted(bins: list[list[int]], loose: Loose, sizes: list[int], capacity: int) -> Packing:
+    """``bins`` with the loose items best-fitted: a bin takes an item in place of none, one or two of its own as long as that fills it
+    better; what is loose in the end goes where it leaves the least room, largest first."""
+    bins = [list(b) for b in bins]
+    for b in bins:
+        room = capacity - sum(sizes[i] for i in b)
+        while room:
+            n = len(b)
+            gain, size, out = 0, 0, ()
+            for out_now in ((), *((x,) for x in range(n)), *((x, y) for x in range(n) for y in range(x))):
+                freed = sum(sizes[b[x]] for x in out_now)
+                fits = loose.largest(room + freed)
+                if fits - freed > gain:
+                    gain, size, out = fits - freed, fits, out_now
+                    if gain == room:
+                        break
+            if not gain:
+                break
+            taken = loose.pop(size)
+            for x in out:
+                loose.add(b[x])
+            b[:] = [i for x, i in enumerate(b) if x not in out] + [taken]
+            room -= gain
+    return placed(sorted(loose.items(), key=sizes.__getitem__, reverse=True), sizes, capacity, bins)
+
+
+def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng, emptied: float = 0.02) -> Packing:
+    """``a`` with some of the fullest bins of ``b`` injected whole; bins that hold a piece of these go, as do the least filled ones of the
+    rest (the mutation), and what they held besides is fitted again."""
     full = sorted(range(len(b.bins)), key=lambda k: b.room[k])[: max(1, len(b.bins) // 2)]
     chosen = [b.bins[k] for k in full if rng.random() < 0.5] or [b.bins[full[0]]]
     moved = {i for x in chosen for i in x}
     kept, loose = [], []
-    for x in a.bins:
+    for k, x in enumerate(a.bins):
         if moved.isdisjoint(x):
-            kept.append(x)
+            kept.append(k)
         else:
             loose += [i for i in x if i not in moved]
-    return placed(sorted(loose, key=sizes.__getitem__, reverse=True), sizes, capacity, chosen + kept)
+    kept.sort(key=lambda k: a.room[k])
+    n = max(0, len(kept) - max(2, int(len(kept) * emptied)))
+    loose += [i for k in kept[n:] for i in a.bins[k]]
+    return refitted(chosen + [a.bins[k] for k in kept[:n]], Loose(loose, sizes), sizes, capacity)
 
 
-def mutation(p: Packing, sizes: list[int], capacity: int, rng, share: float = 0.02) -> Packing:
-    """Empties the least filled bins and a few others, and best-fits their items."""
-    n = max(2, int(len(p.bins) * share))
-    worst = set(sorted(range(len(p.bins)), key=lambda k: -p.room[k])[:n]) | set(rng.integers(0, len(p.bins), n).tolist())
-    loose = [i for k in worst for i in p.bins[k]]
-    return placed(sorted(loose, key=sizes.__getitem__, reverse=True), sizes, capacity, [x for k, x in enumerate(p.bins) if k not in worst])
+def grouping(sizes: list[int], capacity: int, rng, noise: float) -> Packing:
+    """A packing of the items from large to small, as ``noise`` (a share of their size) has it."""
+    order = np.argsort(-np.array(sizes) * rng.uniform(1 - noise, 1 + noise, len(sizes)), kind="stable")
+    return placed(order.tolist(), sizes, capacity)
 
 
-def evolve(sizes: list[int], start: list[Packing], capacity: int, seed: int, generations: int = 6, population: int = 4) -> Packing:
-    """The best packing found; ends at once when the bins are as few as the total allows."""
+def evolve(sizes: list[int], start: list[Packing], capacity: int, seed: int, generations: int = 20, population: int = 6, island: int = 0) -> Packing:
+    """The best packing found, from ``start`` and groupings of the island's own; ends at once when the bins are as few as the total allows."""
     rng = np.random.default_rng(seed)
     least = -(-sum(sizes) // capacity)
-    down = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
-    people = start or [placed(down, sizes, capacity)]
     score = lambda p: p.fitness(capacity)
-    if len(max(people, key=score).bins) <= least:
-        return max(people, key=score)
+    people = list(start)
     while len(people) < population:
-        noise = np.array(sizes) * rng.uniform(0.9, 1.1, len(sizes))
-        people.append(placed(np.argsort(-noise).tolist(), sizes, capacity))
+        people.append(grouping(sizes, capacity, rng, 0.3 if island or people else 0.0))
+        if len(people[-1].bins) <= least:
+            break
     for _ in range(generations):
         people.sort(key=score, reverse=True)
-        if len(people[0].bins) <= least:
+        if len(people[0].bins) <= least or len(people) < 2:
             break
-        a, b = people[0], people[int(rng.integers(1, len(people)))]
-        young = [crossover(a, b, sizes, capacity, rng), crossover(b, a, sizes, capacity, rng)]
-        young = [mutation(y, sizes, capacity, rng) for y in young]
-        people = sorted(people + young, key=score, reverse=True)[:population]
+        i, j = rng.permutation(min(4, len(people)))[:2].tolist()
+        a, b = people[i], people[j]
+        people = sorted(people + [crossover(a, b, sizes, capacity, rng), crossover(b, a, sizes, capacity, rng)], key=score, reverse=True)[:population]
     return max(people, key=score)
 
 
@@ -147,7 +201,7 @@ def _epoch(key, pdf: pd.DataFrame, capacity: int, generations: int) -> pd.DataFr
             bins.setdefault(b, []).append(i)
         if -1 not in bins:
             start.append(Packing(list(bins.values()), sizes, capacity))
-    best = evolve(sizes, start, capacity, hash((int(key[0]), int(key[1]), len(start))) & 0xFFFFFFFF, generations)
+    best = evolve(sizes, start, capacity, hash((int(key[0]), int(key[1]), len(start))) & 0xFFFFFFFF, generations, island=int(key[1]))
     where = np.zeros(len(base), np.int32)
     for b, items in enumerate(best.bins):
         where[items] = b
@@ -185,10 +239,11 @@ def _packed(rows: DataFrame, islands: int, epochs: int, generations: int, capaci
     return state.groupBy("shard").applyInPandas(lambda key, pdf: _elect(key, pdf, capacity, spare)[names], OUT)
 
 
-def pack(rows: DataFrame, capacity: int = SEQUENCE, shard: int = SHARD, islands: int = 2, epochs: int = 2, generations: int = 6, spare: int = 4) -> DataFrame:
-    """Adds sequence_id and offset to pieces (columns of PIECES, lengths from 1 to ``capacity``). Rows may repeat; none give none.
+def pack(rows: DataFrame, capacity: int = SEQUENCE, shard: int = SHARD, islands: int = 2, epochs: int = 2, generations: int = 20, spare: int = 4) -> DataFrame:
+    """Adds sequence_id and offset to pieces (columns of PIECES, lengths from 1 to ``capacity``). Rows may repeat, ids may be null; no rows
+    give none.
 
-    About ``shard`` pieces meet in one task, however many the input has.
+    About ``shard`` pieces meet in one task, however many the input has, and however many of them share a bin.
     """
     rows = written(rows.select(*[c.split()[0] for c in PIECES.split(", ")]), "pieces")
     n = rows.count()
@@ -196,7 +251,7 @@ def pack(rows: DataFrame, capacity: int = SEQUENCE, shard: int = SHARD, islands:
     rows = rows.withColumn("uid", F.monotonically_increasing_id())
     first = written(_packed(rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards))), islands, epochs, generations, capacity, spare if shards > 1 else 0), "packed")
     pool = first.where("pooled").select(*[c.split()[0] for c in PIECES.split(", ")], "uid")
-    again = max(1, -(-shards * spare * 8 // shard))
+    again = max(1, -(-pool.count() // shard))
     second = _packed(pool.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(again)) + F.lit(shards)), islands, epochs, generations, capacity, 0)
     keep = [c.split()[0] for c in PIECES.split(", ")] + ["sequence_id", "offset"]
     return first.where("not pooled").select(*keep).unionByName(second.select(*keep))
@@ -205,7 +260,8 @@ def pack(rows: DataFrame, capacity: int = SEQUENCE, shard: int = SHARD, islands:
 def packed_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = SEQUENCE) -> DataFrame:
     """Columns doc_id, piece, start, length, ids_crc32, sequence_id, offset of every whole text.
 
-    Null and empty texts are one piece of one id (the end). Null ids and repeated rows are kept; other columns are ignored.
+    Null and empty texts are one piece of one id (the end); a very long one is cut into many. Null ids and repeated rows are kept; other
+    columns are ignored, whatever their names. An empty table gives none.
     """
     return pack(pieces(docs, tokenizer_path, end_id, capacity), capacity)
 

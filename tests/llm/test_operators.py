@@ -223,7 +223,7 @@ def test_genetic_operators_keep_all_items():
     sizes = rng.integers(1, 100, 200).tolist()
     best = packing.evolve(sizes, [], 128, 1)
     assert sorted(i for b in best.bins for i in b) == list(range(200)) and min(best.room) >= 0
-    again = packing.mutation(packing.crossover(best, packing.placed(range(200), sizes, 128), sizes, 128, rng), sizes, 128, rng)
+    again = packing.crossover(best, packing.placed(range(200), sizes, 128), sizes, 128, rng)
     assert sorted(i for b in again.bins for i in b) == list(range(200)) and min(again.room) >= 0
 
 
