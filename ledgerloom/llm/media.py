@@ -163,13 +163,7 @@ class MediaArchiveReader(DataSourceReader):
                 with files.open_input_file(path) as f:
                     f.seek(info.header_offset)
                     head = f.read(30)
-                    if head[:4] != b"PK\x03\x04":
-                        raise ValueError("no member here")
-                    f.seek(info.header_offset + 30 + sum(struct.unpack("<HH", head[26:30])))
-                    data = f.read(info.compress_size)
-                if len(data) != info.compress_size or zlib.crc32(data) != info.CRC:
-                    raise ValueError("damaged member")
-                return data
+                    return stored_bytes(head + f.read(_names(head) + info.compress_size), info)
             except (OSError, ValueError):
                 if attempt == self.retries:
                     raise
@@ -178,28 +172,60 @@ class MediaArchiveReader(DataSourceReader):
         raise AssertionError
 
     def read(self, partition: ByteRange):
+        """The members of a range in large reads of neighbours; one that is not whole in these is read again by itself."""
         if not partition.name:
             return
         files, root = filesystem(self.path)
         path = f"{root}/{partition.name}"
         with files.open_input_file(path) as f, zipfile.ZipFile(f) as z:
-            own = [i for i in z.infolist() if partition.start <= i.header_offset < partition.stop]
-        rows, size = [], 0
-        for info in own:
+            infos, end = sorted(z.infolist(), key=lambda i: i.header_offset), z.start_dir
+        stops = [i.header_offset for i in infos[1:]] + [end]
+        own = [(i, e) for i, e in zip(infos, stops, strict=True) if partition.start <= i.header_offset < partition.stop]
+        while own:
+            n = 1
+            while n < len(own) and own[n][1] - own[0][0].header_offset <= BATCH_BYTES:
+                n += 1
+            yield self._run(files, path, partition.name, own[:n])
+            own = own[n:]
+
+    def _run(self, files, path: str, name: str, own: list[tuple]) -> pa.RecordBatch:
+        first = own[0][0].header_offset
+        try:
+            with files.open_input_file(path) as f:
+                f.seek(first)
+                data = f.read(own[-1][1] - first)
+        except OSError:
+            data = b""
+        rows = []
+        for info, end in own:
             media = error = None
             try:
-                media = self.member(files, path, info)
-            except (OSError, ValueError) as e:
-                if self.mode == "failfast":
-                    raise
-                error = f"{type(e).__name__}: {e}"
-            rows.append((info.filename or None, partition.name, info.header_offset, media, error))
-            size += len(media or b"")
-            if size >= BATCH_BYTES:
-                yield _batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows)
+                media = stored_bytes(data[info.header_offset - first : end - first], info)
+            except ValueError:
+                try:
+                    media = self.member(files, path, info)
+                except (OSError, ValueError) as e:
+                    if self.mode == "failfast":
+                        raise
+                    error = f"{type(e).__name__}: {e}"
+            rows.append((info.filename or None, name, info.header_offset, media, error))
+        return _batch(rows)
+
+
+def _names(head: bytes) -> int:
+    """Bytes of name and extra fields after a member's header."""
+    return sum(struct.unpack("<HH", head[26:30])) if len(head) == 30 else 0
+
+
+def stored_bytes(data: bytes, info: zipfile.ZipInfo) -> bytes:
+    """What a member holds, from the bytes that begin with its header; an error if they are not it."""
+    if data[:4] != b"PK\x03\x04" or len(data) < 30:
+        raise ValueError("no member here")
+    start = 30 + _names(data[:30])
+    out = data[start : start + info.compress_size]
+    if len(out) != info.compress_size or zlib.crc32(out) != info.CRC:
+        raise ValueError("damaged member")
+    return out
 
 
 SCHEMA = "member string, archive string, offset long, media binary, error string"
@@ -244,12 +270,16 @@ DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def described(media: DataFrame) -> DataFrame:
-    """Sizes, digests and features of stored members whose names are document ids (or absent, for null)."""
+    """Sizes, digests and features of stored members whose names are document ids (or absent, for null); null for a member that a permissive
+    read could not get."""
 
     def run(batches):
         for b in batches:
             rows = []
             for member, stored in zip(b.column("member").to_pylist(), b.column("media").to_pylist(), strict=True):
+                if stored is None:
+                    rows.append((int(member) if member else None, *[None] * 7))
+                    continue
                 data = decode_png(stored)
                 rows.append((int(member) if member else None, len(data.rstrip(PAD)), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(data)))
             if rows:
@@ -262,7 +292,8 @@ def described(media: DataFrame) -> DataFrame:
 def stored_texts(docs: DataFrame) -> DataFrame:
     """Stores every text as a media member and describes what is read back; one row per row of ``docs``.
 
-    Null and empty texts are stored as one row of padding. Null ids come back null, repeated rows repeated. An empty table gives none.
+    Null and empty texts are stored as one row of padding, long ones as one tall image. Null ids come back null, repeated rows repeated. An
+    empty table gives none; other columns are ignored.
     """
     spark, path = docs.sparkSession, new_folder(docs.sparkSession, "media")
     write_media(docs.select(F.col("doc_id").cast("string").alias("member"), F.encode(F.col("text").cast("string"), "UTF-8").alias("payload")), path)
