@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .shared import connected_components, shuffle_width, written
 
-#: Vectors that the codebooks are fitted on, planted pairs for the traversal bound, vectors in a block at most (about), in a cell on average.
-SAMPLE, PLANTED, BLOCK, PER_CELL = 16_384, 4_096, 512, 64
+#: Vectors that the codebooks are fitted on, planted pairs for the traversal bound, vectors in a block at most (about), in a cell on average;
+#: centres in a codebook at most, each of 8 vectors of the sample: the grid grows with the rows up to 4.2 million cells.
+SAMPLE, PLANTED, BLOCK, PER_CELL, CENTRES = 16_384, 4_096, 512, 64, 2_048
 
 
 def codebook(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -62,7 +63,7 @@ class MultiIndex:
 
     def __init__(self, sample: np.ndarray, cells: int, threshold: float, recall: float, seed: int = 7):
         self.half = sample.shape[1] // 2
-        k = max(1, min(int(np.ceil(cells**0.5)), len(sample)))
+        k = max(1, min(int(np.ceil(cells**0.5)), CENTRES, len(sample)))
         self.k, self.a, self.b = k, codebook(sample[:, : self.half], k, seed), codebook(sample[:, self.half :], k, seed + 1)
         rng = np.random.default_rng(seed + 2)
         x = sample[rng.choice(len(sample), min(len(sample), PLANTED), replace=False)]
@@ -86,17 +87,28 @@ class MultiIndex:
         return a * self.k + b
 
 
-def units(column: pa.Array) -> np.ndarray:
-    """Rows of a list column as unit vectors in double precision."""
-    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
-    x = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+def normed(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; scaled first, so that no square over- or underflows."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True) if len(x) else x
     return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
 
 
+def raw_rows(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of a list column as they are, ended by zeros up to ``width``."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, np.int64)
+    if (sizes == width).all():
+        return flat.reshape(len(column), width)
+    out = np.zeros((len(column), width), flat.dtype)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows vec_id, embedding (array<double>) that may link: no null, zero or non-finite ones."""
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """Rows vec_id, embedding (arrays of the input's floats, else of doubles) that may link: no null, zero or non-finite ones."""
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return v.where(good & F.exists("embedding", lambda x: x != 0))
 
@@ -120,50 +132,53 @@ def local_forest(near: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[
 def linked(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99) -> DataFrame:
     """Columns vec_id, n_links, component_id, kept: one row per row of ``vectors``.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing. Equal vectors are one node with a count, so
-    a group of copies of any size is never expanded. All vectors are taken to have one length; ids are taken to be unique (a repeated
-    id counts once for each row). A null id is counted as a link of others, and gets a null component unless it has a smaller non-null
-    one to reach. An empty table gives none; other columns are ignored.
+    Vectors that are null, zero, or hold null or non-finite components link with nothing, and none links with one of another length. Equal
+    vectors are one node with a count, so a group of copies of any size is never expanded. A pair that either vector's traversal finds counts
+    for both. Ids are taken to be unique (a repeated id counts once for each row). A null id is counted as a link of others, and gets a null
+    component unless it has a smaller non-null one to reach. An empty table gives none; other columns are ignored.
     """
     spark = vectors.sparkSession
     good = usable(vectors)
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     far = F.lit(1 << 62) + F.xxhash64("embedding").bitwiseAND(F.lit((1 << 61) - 1))
     classes = written(classes.select("embedding", F.coalesce("first", far).alias("node"), "copies"), "vectors")
-    n = classes.count()
+    n, width = classes.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     sample = classes.select("embedding", F.xxhash64("embedding").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(good.schema["embedding"].dataType).alias("embedding"))
     if not n:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    x = units(sample.column(0).combine_chunks())
-    index = MultiIndex(x, max(1, min(n, SAMPLE * PER_CELL) // PER_CELL), threshold, recall)
-    width = x.shape[1]
+    x = raw_rows(sample.column(0).combine_chunks(), width)
+    kind, index = x.dtype, MultiIndex(normed(x), max(1, n // PER_CELL), threshold, recall)
 
     def list_cells(batches):
         for b in batches:
-            v = units(b.column("embedding"))
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), pa.array(index.cell(v), pa.int64()), pa.array(list(map(np.ndarray.tobytes, v)), pa.binary())], ["node", "copies", "cell", "unit"])
+            raw = raw_rows(b.column("embedding"), width)
+            sizes = np.diff(b.column("embedding").offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), pa.array(index.cell(normed(raw)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(list(map(np.ndarray.tobytes, raw)), pa.binary())], ["node", "copies", "cell", "dim", "raw"])
+
+    listed = written(classes.mapInArrow(list_cells, "node long, copies long, cell long, dim long, raw binary"), "cells")
+    #: One count for each cell of the grid that is not empty, of which there are CENTRES ** 2 at most.
+    per_cell = written(listed.groupBy("cell").agg(F.count("*").alias("n")), "counts")
+    filled = np.sort(per_cell.select("cell").toArrow()["cell"].to_numpy())
 
-    listed = written(classes.mapInArrow(list_cells, "node long, copies long, cell long, unit binary"), "cells")
-    #: One count for each cell of the grid, of which there are SAMPLE at most.
-    counts = {r.cell: r.n for r in listed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = {c: -(-m // BLOCK) for c, m in counts.items()}
+    def vectors_of(raws) -> np.ndarray:
+        return np.frombuffer(b"".join(raws), kind).reshape(-1, width)
 
     def probe(batches):
         for b in batches:
-            v = np.frombuffer(b"".join(b.column("unit").to_pylist()), np.float64).reshape(-1, width)
-            nodes = b.column("node").to_numpy()
-            for at in range(0, len(v), 2048):
-                part = v[at : at + 2048]
-                da, db = index.scores(part)
+            raw, ids = vectors_of(b.column("raw").to_pylist()), np.stack([b.column("node").to_numpy(), b.column("copies").to_numpy(), b.column("dim").to_numpy()], 1)
+            for at in range(0, len(raw), 2048):
+                part, own = raw[at : at + 2048], ids[at : at + 2048]
+                da, db = index.scores(normed(part))
                 to: dict[int, list[int]] = {}
                 for r in range(len(part)):
                     for i, j in traverse(da[r], db[r], index.margin):
-                        if (c := i * index.k + j) in blocks:
-                            to.setdefault(c, []).append(r)
-                for c, rows in to.items():
-                    ids, units_ = nodes[at : at + 2048][rows].tobytes(), part[rows].tobytes()
-                    yield pa.RecordBatch.from_pydict({"cell": pa.array([c] * blocks[c], pa.int64()), "block": pa.array(range(blocks[c]), pa.int64()), "ids": pa.array([ids] * blocks[c], pa.binary()), "units": pa.array([units_] * blocks[c], pa.binary())})
+                        to.setdefault(i * index.k + j, []).append(r)
+                cells = np.fromiter(to, np.int64, len(to))
+                there = filled[np.minimum(np.searchsorted(filled, cells), len(filled) - 1)] == cells
+                found = [(c, own[to[c]].tobytes(), part[to[c]].tobytes()) for c in cells[there].tolist()]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["cell", "ids", "raws"])
 
     def rebatched(batches):
         held, size = [], 0
@@ -176,28 +191,37 @@ def linked(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99) ->
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    probes = listed.select("node", "unit").repartition(shuffle_width(spark)).mapInArrow(lambda it: rebatched(probe(it)), "cell long, block long, ids binary, units binary")
-    of_cell = F.create_map(*[F.lit(x) for c, m in blocks.items() if m > 1 for x in (c, m)]) if any(m > 1 for m in blocks.values()) else None
-    parts = F.coalesce(of_cell[F.col("cell")], F.lit(1)) if of_cell is not None else F.lit(1)
-    stored = listed.withColumn("block", F.pmod(F.xxhash64("node"), parts.cast("long")))
-    stored = stored.groupBy("cell", "block").agg(F.collect_list(F.struct("node", "copies", "unit")).alias("own"))
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = per_cell.select("cell", parts.alias("blocks"))
+    probes = listed.select("node", "copies", "dim", "raw").repartition(shuffle_width(spark)).mapInArrow(lambda it: rebatched(probe(it)), "cell long, ids binary, raws binary")
+    probes = probes.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    stored = listed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    stored = stored.groupBy("cell", "block").agg(F.collect_list(F.struct("node", "copies", "dim", "raw")).alias("own"))
 
     def verify(batches):
         for b in batches:
-            for ids, probe_units, own in zip(b.column("ids").to_pylist(), b.column("units").to_pylist(), b.column("own"), strict=True):
-                rows = np.frombuffer(ids, np.int64)
-                p = np.frombuffer(probe_units, np.float64).reshape(-1, width)
+            for ids, raws, own in zip(b.column("ids").to_pylist(), b.column("raws").to_pylist(), b.column("own"), strict=True):
+                rows, times, dims = np.frombuffer(ids, np.int64).reshape(-1, 3).T
                 own = own.values
-                cols, copies = own.field("node").to_numpy(), own.field("copies").to_numpy()
-                q = np.frombuffer(b"".join(own.field("unit").to_pylist()), np.float64).reshape(-1, width)
-                near = (p @ q.T >= threshold) & (rows[:, None] != cols)
+                cols, copies, dim = (own.field(c).to_numpy() for c in ("node", "copies", "dim"))
+                p, q = normed(vectors_of([raws])), normed(vectors_of(own.field("raw").to_pylist()))
+                near = (p @ q.T >= threshold) & (rows[:, None] != cols) & (dims[:, None] == dim)
+                i, j = np.nonzero(near)
+                if not len(i):
+                    continue
+                # A pair that the stored vector's own traversal doesn't reach counts for it here.
+                ua, ub = np.unique(j), np.unique(i)
+                da, db = index.scores(q[ua])
+                ca, cb = index.nearest(p[ub])
+                at, of = np.searchsorted(ua, j), np.searchsorted(ub, i)
+                lost = da[at, ca[of]] + db[at, cb[of]] > da.min(1)[at] + db.min(1)[at] + index.margin
+                back = np.bincount(j[lost], times[i[lost]], len(cols)).astype(np.int64)
                 n_links = near @ copies
-                k = np.nonzero(n_links)[0]
+                k, m = np.nonzero(n_links)[0], np.nonzero(back)[0]
                 a, c = local_forest(near, rows, cols)
-                if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rows[k], a])), pa.array(np.concatenate([n_links[k], np.zeros(len(a), np.int64)])), pa.array(np.concatenate([rows[k], c]))], ["node", "links", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([rows[k], cols[m], a], [n_links[k], back[m], np.zeros(len(a), np.int64)], [rows[k], cols[m], c])], ["node", "links", "other"])
 
-    found = written(probes.join(stored, ["cell", "block"]).select("ids", "units", "own").mapInArrow(lambda it: rebatched(verify(it)), "node long, links long, other long"), "found")
+    found = written(probes.join(stored, ["cell", "block"]).select("ids", "raws", "own").mapInArrow(lambda it: rebatched(verify(it)), "node long, links long, other long"), "found")
     comps = connected_components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     of_class = classes.join(links, "node", "left").join(comps, "node", "left").select("embedding", F.coalesce("component", "node").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
