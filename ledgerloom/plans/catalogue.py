@@ -15,7 +15,7 @@ from ..functions import paths, text
 from ..operators import clusters, groups, topology, turns
 from ..sources import ledger as L
 from ..sources import workspace
-from . import normalization
+from . import normalization, surface
 
 T0, T1 = datetime(2024, 1, 5), datetime(2024, 1, 12)
 GAP_HOURS = 4.0
@@ -227,6 +227,7 @@ def _catalogue() -> dict:
     q["payload_hash"] = (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("bigint").alias("n_bytes"))), "SELECT doc_id, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents"
     q["clip_payload"] = (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", text.clip_bytes(F.col("text"), 2000).alias("clip"))), None
     q |= normalization.catalogue(_pairs, PAIRS_SQL)
+    q |= surface.catalogue(ledger, atoms, _pairs, _turn_rows, components, PAIRS_SQL, LEDGER_SQL, ATOMS_SQL, COMPONENTS_SQL)
     return q
 
 

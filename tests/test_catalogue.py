@@ -23,7 +23,7 @@ def rows(names, table):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in "events documents conversations pages".split():
+    for t in "events documents conversations pages embeddings".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     return con
 
