@@ -168,7 +168,7 @@ def catalogue(ledger, atoms, pairs, turn_rows, components, pairs_sql: str, ledge
     q["cut_with_note"] = (lambda s, d: docs(s, d).select("doc_id", text.cut_with_note(F.col("text"), 800).alias("cut"))), "SELECT doc_id, CASE WHEN length(text) > 800 THEN substr(text, 1, 800) || chr(10) || '[…truncated; ' || (length(text) - 800) || ' chars dropped]' ELSE text END AS cut FROM documents"
     q["descriptors"] = (
         lambda s, d: ledger(s, d).select("id", F.when(F.octet_length("source") <= 30, F.col("source")).alias("source"), F.octet_length("source").cast("long").alias("source_bytes"), F.octet_length("metadata").cast("long").alias("metadata_bytes")),
-        led("SELECT id, CASE WHEN strlen(source) <= 30 THEN source END AS source, CAST(strlen(source) AS BIGINT) AS source_bytes, CAST(CASE k % 4 WHEN 0 THEN 59 WHEN 1 THEN 48 WHEN 2 THEN 74 ELSE 41 END AS BIGINT) AS metadata_bytes FROM ledger"),
+        led("SELECT id, CASE WHEN strlen(source) <= 30 THEN source END AS source, CAST(strlen(source) AS BIGINT) AS source_bytes, CAST(CASE k % 4 WHEN 0 THEN 60 WHEN 1 THEN 50 WHEN 2 THEN 75 ELSE 41 END AS BIGINT) AS metadata_bytes FROM ledger"),
     )
     q["stored_bytes"] = (lambda s, d: ledger(s, d).agg(F.sum(F.octet_length("source")).alias("n_bytes"), F.count("*").alias("n"))), led("SELECT CAST(sum(strlen(source)) AS BIGINT) AS n_bytes, count(*) AS n FROM ledger")
     q["logical_candidates"] = (lambda s, d: turn_rows(s, d).select(F.countDistinct(F.when((F.col("observation_kind") == "original") & F.col("logical_turn_id").isNotNull(), F.col("logical_turn_id")).when(~((F.col("observation_kind") == "inherited") & F.col("logical_turn_id").isNotNull()), F.concat(F.lit("raw"), "id"))).alias("n"))), led("SELECT count(DISTINCT CASE WHEN seq % 3 = 0 AND k % 5 <> 4 THEN 't' || user_id || '-' || (k % 9) WHEN NOT (seq % 3 = 1 AND k % 5 <> 4) THEN 'raw' || id END) AS n FROM ledger")
