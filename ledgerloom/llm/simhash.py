@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -202,6 +203,9 @@ WIDE, RADIUS, DIFFER = 4, 34, 0.192
 #: Chance that a pair with so many differing bits shares a block, by which the number of blocks is chosen; rows that a block's run has of
 #: unrelated texts, about; run up to which all of its rows are compared.
 RECALL, RUN, COMPARED = 0.98, 4, 1024
+#: Nearest texts that each one is checked against first; candidates left over from which a text is checked against all rows in a block of such
+#: texts instead; bytes of the sets of a block; bits of all fingerprints that may differ then (3.2 deviations over the mean).
+NEAREST, DENSE, BLOCK_BYTES, LIMIT = 4, 64, 4 << 20, 69
 #: Blocks at least; few texts cost little.
 LEAST_BLOCKS = 64
 #: Least Jaccard similarity of the shingle sets, as a fraction.
@@ -281,10 +285,15 @@ def pairs_in_runs(key: np.ndarray, comp: np.ndarray, x: np.ndarray, y: np.ndarra
                     yield compared(i[k], j[k], x, y)
 
 
-def candidates(classes: DataFrame, blocks: Blocks, nearest: bool) -> DataFrame:
-    """Pairs a < b of nodes (columns node, comp, fp, x1 to x<WIDE>) of different components that agree on a block and differ in up to RADIUS
-    bits: all of them, or with ``nearest`` of each run and node the nearest one of the nodes below it (columns a, b, d)."""
+def candidates(classes: DataFrame, blocks: Blocks, what: str) -> DataFrame:
+    """Pairs of nodes (columns node, comp, size of the component, dense, fp, x1 to x<WIDE>) of different components that agree on a block and
+    differ in up to RADIUS bits. A pair is told by its node of the smaller component, of two alike the lower.
+
+    ``what``: nearest (columns a, b, d: for each node of a run its nearest one), counts (node, n: how many pairs are told by a node, those of
+    several blocks counted each) or pairs (a, b: all whose node is not dense).
+    """
     names = ["fp", *[f"x{k + 1}" for k in range(WIDE)]]
+    own = ("node", "comp", "size", "dense", "fp", "x1")
 
     def spread(batches):
         for b in batches:
@@ -292,16 +301,16 @@ def candidates(classes: DataFrame, blocks: Blocks, nearest: bool) -> DataFrame:
                 part = b.slice(at, 4096)
                 keys = blocks.keys(np.stack([part.column(c).to_numpy().view(np.uint64) for c in names], 1))
                 n = keys.shape[1]
-                cols = [np.repeat(part.column(c).to_numpy(), n) for c in ("node", "comp", "fp", "x1")]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, cols)], ["key", "node", "comp", "fp", "x1"])
+                cols = [np.repeat(part.column(c).to_numpy(zero_copy_only=False), n) for c in own]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, cols)], ["key", *own])
 
-    columns = "key long, node long, comp long, fp long, x1 long"
-    rows = classes.select("node", "comp", *names).mapInArrow(spread, columns).repartition(shuffle_width(classes.sparkSession), "key").sortWithinPartitions("key")
+    columns = "key long, node long, comp long, size long, dense boolean, fp long, x1 long"
+    rows = classes.select("node", "comp", F.col("size").cast("long"), "dense", *names).mapInArrow(spread, columns).repartition(shuffle_width(classes.sparkSession), "key").sortWithinPartitions("key")
 
     def run(batches):
         held = None
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in ("key", "node", "comp", "fp", "x1")]
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", *own)]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -313,28 +322,37 @@ def candidates(classes: DataFrame, blocks: Blocks, nearest: bool) -> DataFrame:
     def found(cols):
         if len(cols[0]) < 2:
             return
-        key, node, comp = cols[:3]
-        best: list[tuple] = []
-        for i, j, d in pairs_in_runs(key, comp, cols[3].view(np.uint64), cols[4].view(np.uint64)):
+        key, node, comp, size, dense = cols[:5]
+        parts: list[tuple] = []
+        for i, j, d in pairs_in_runs(key, comp, cols[5].view(np.uint64), cols[6].view(np.uint64)):
             if not len(i):
                 continue
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            if nearest:
-                order = np.lexsort((a, d, b))
-                first = order[np.concatenate([[True], b[order][1:] != b[order][:-1]])]
-                a, b, d = a[first], b[first], d[first]
-            best.append((a, b, d))
-            if sum(len(x[0]) for x in best) > 1 << 18:
-                yield _pairs(best)
-                best = []
-        if best:
-            yield _pairs(best)
+            if what == "nearest":
+                a, b, d = node[np.concatenate([i, j])], node[np.concatenate([j, i])], np.concatenate([d, d])
+                order = np.lexsort((b, d, a))
+                first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])]
+                parts.append((a[first], b[first], d[first]))
+            else:
+                tells = np.where((size[i] < size[j]) | ((size[i] == size[j]) & (node[i] < node[j])), i, j)
+                if what == "counts":
+                    parts.append(np.unique(node[tells], return_counts=True))
+                else:
+                    k = ~dense[tells]
+                    parts.append((np.minimum(node[i[k]], node[j[k]]), np.maximum(node[i[k]], node[j[k]])))
+            if sum(len(x[0]) for x in parts) > 1 << 18:
+                yield _pairs(parts, what)
+                parts = []
+        if parts:
+            yield _pairs(parts, what)
 
-    return rows.mapInArrow(run, "a long, b long, d long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS[what]))
 
 
-def _pairs(parts: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)], ["a", "b", "d"])
+COLUMNS = {"nearest": ("a", "b", "d"), "counts": ("node", "n"), "pairs": ("a", "b")}
+
+
+def _pairs(parts: list[tuple], what: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)], list(COLUMNS[what]))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -358,12 +376,67 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def dense_links(placed: DataFrame, dense: DataFrame, sets_of) -> DataFrame:
+    """Links (columns a, b) of the dense nodes with nodes of other components: one of each component that a task meets is enough.
+
+    Dense nodes are texts among many near-copies that they are not quite similar to. They are a query set against all rows, in blocks of
+    bounded bytes: a scan of the fingerprints finds the rows that any of them may be similar to, and the sets of these are compared with the
+    sets of the block in place, so that no pair is ever a row.
+    """
+    spark, names = placed.sparkSession, ["fp", *[f"x{k + 1}" for k in range(WIDE)]]
+    prints = written(placed.join(dense, "node", "left_semi").select("node", "comp", *names), "dense")
+    own_sets = sets_of(dense)
+    bounds = own_sets.select(F.floor(F.sum(F.octet_length("s")) / BLOCK_BYTES).alias("n")).first().n or 0
+    n_blocks = int(bounds) + 1
+    out = []
+    for k in range(n_blocks):
+        block = prints.join(own_sets, "node").where(F.pmod(F.xxhash64("node"), F.lit(n_blocks)) == k).toArrow()
+        if not block.num_rows:
+            continue
+        ids, of = block["node"].to_numpy(), block["comp"].to_numpy()
+        bits = np.stack([block[c].to_numpy().view(np.uint64) for c in names], 1)
+        sets = [np.frombuffer(x, "<u8") for x in block["s"].to_pylist()]
+
+        def close(b, bits=bits, of=of):
+            """(row, node of the block) that may be similar, of other components."""
+            x, comp = np.stack([b.column(c).to_numpy().view(np.uint64) for c in names], 1), b.column("comp").to_numpy()
+            for at in range(0, len(x), 256):
+                d = sum(_popcount(x[at : at + 256, None, w] ^ bits[None, :, w]).astype(np.int64) for w in range(len(names)))
+                i, j = np.nonzero((d <= LIMIT) & (comp[at : at + 256, None] != of[None, :]))
+                yield i + at, j
+
+        def partners(batches, close=close):
+            for b in batches:
+                rows = np.unique(np.concatenate([np.zeros(0, np.int64), *(i for i, _ in close(b))]))
+                yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(rows))], ["node"])
+
+        met = sets_of(placed.mapInArrow(partners, "node long"))
+
+        def check(batches, close=close, ids=ids, of=of, sets=sets):
+            done = set()
+            for b in batches:
+                a, b_ = [], []
+                node, comp, s = b.column("node").to_numpy(), b.column("comp").to_numpy(), b.column("s").to_pylist()
+                for i, j in close(b):
+                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                        if (comp[x], y) not in done and similar(np.frombuffer(s[x], "<u8"), sets[y]):
+                            done.add((comp[x], y))
+                            a.append(int(ids[y]))
+                            b_.append(int(node[x]))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64())], ["a", "b"])
+
+        out.append(written(placed.join(met, "node").select("node", "comp", "s", *names).mapInArrow(check, "a long, b long"), "edges"))
+        release(spark, met)
+    release(spark, prints, own_sets)
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "a long, b long")
+
+
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id, then text hash (null ids come last).
 
     Links are pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, checked on the sets; the pairs to check
-    come from blocks of fingerprints. First each text is checked against the nearest ones that it meets, one a text; then all pairs that
-    still would join two components. Texts without words are one group. Rows that repeat both doc_id and text stay or go together. All
+    come from blocks of fingerprints. First each text is checked against the few nearest ones that it meets; then all pairs that still would
+    join two components, and texts with very many of these, block by block, against all rows (``dense_links``). Texts without words are one group. Rows that repeat both doc_id and text stay or go together. All
     columns pass through; an empty table gives none.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -386,26 +459,35 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     fps = written(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "h", "node", "fp", *more))), "fingerprints")
     classes = written(fps.groupBy("node").agg(*[F.min(c).alias(c) for c in ("h", "fp", *more)]), "classes")
     blocks = Blocks(classes.count())
-    near = candidates(classes.withColumn("comp", F.col("node")), blocks, nearest=True)
-    near = written(near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b"), "pairs")
 
-    def of_pairs(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = rows.select("text", "h").join(classes.join(nodes, "node", "left_semi").select("node", "h"), "h").dropDuplicates(["node"])
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = rows.select("text", "h").join(classes.join(nodes.distinct(), "node", "left_semi").select("node", "h"), "h").dropDuplicates(["node"])
         return written(wanted.select("node", "text").mapInArrow(run_sets, "node long, s binary"), "sets")
 
-    sets = of_pairs(near)
-    edges = written(verified(near, sets), "edges")
-    release(spark, sets)
-    comps = written(connected_components(edges), "components")
-    placed = classes.join(comps, "node", "left").select(*classes.columns, F.coalesce("component", "node").alias("comp"))
-    rest = candidates(placed, blocks, nearest=False).select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
-    rest = written(rest, "pairs")
-    release(spark, near)
-    if not rest.isEmpty():
-        sets = of_pairs(rest)
-        comps = connected_components(edges.unionByName(written(verified(rest, sets), "edges")))
+    def checked(pairs: DataFrame) -> DataFrame:
+        sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+        out = written(verified(pairs, sets), "edges")
         release(spark, sets)
+        return out
+
+    near = candidates(classes.withColumns({"comp": F.col("node"), "size": F.lit(1), "dense": F.lit(False)}), blocks, "nearest")
+    near = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, NEAREST).alias("n")).select("a", F.explode("n.b").alias("b"))
+    near = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    edges = checked(near)
+    comps = written(connected_components(edges), "components")
+    sizes = comps.groupBy("component").agg(F.count("*").alias("size"))
+    placed = classes.join(comps.join(sizes, "component").withColumnRenamed("component", "comp"), "node", "left")
+    placed = written(placed.select(*classes.columns, F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")), "placed")
+    left = candidates(placed.withColumn("dense", F.lit(False)), blocks, "counts").groupBy("node").agg(F.sum("n").alias("n"))
+    left = written(left, "left")
+    dense = written(left.where(F.col("n") > DENSE).select("node"), "dense")
+    rest = candidates(placed.join(dense.withColumn("_d", F.lit(True)), "node", "left").withColumn("dense", F.col("_d").isNotNull()), blocks, "pairs")
+    rest = written(rest.distinct().join(near, ["a", "b"], "left_anti"), "pairs")
+    release(spark, near, left)
+    more_edges = ([] if rest.isEmpty() else [checked(rest)]) + ([] if dense.isEmpty() else [dense_links(placed, dense, sets_of)])
+    release(spark, rest, dense, placed)
+    if more_edges:
+        comps = connected_components(reduce(DataFrame.unionByName, more_edges, edges))
     placed = fps.select("node", "doc_id", "h", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("o"))
     placed = placed.join(comps, "node", "left").select(F.coalesce("component", "node").alias("c"), "doc_id", "h", "o")
     least = placed.groupBy("c").agg(F.min("o").alias("o"))

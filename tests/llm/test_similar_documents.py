@@ -93,3 +93,21 @@ def test_a_large_group_of_near_copies_is_one(spark):
     rows += [(5000 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(150))) for i in range(200)]
     got = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [0, *range(5000, 5200)]
+
+
+def test_texts_among_many_near_copies_they_are_not_similar_to(spark, monkeypatch):
+    """A group whose members are mostly under 0.8 of each other, with a few true links: the dense way and the pairs give what brute force gives."""
+    rng = random.Random(25)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(260):
+        own = list(base)
+        for at in rng.sample(range(5, 115), rng.choice([1, 3, 5, 7])):
+            own[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = kept_by_brute_force(rows)
+    assert 5 < len(want) < 255
+    for dense in (simhash.DENSE, 2):
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        assert Counter(r.doc_id for r in simhash.keep_one(df).collect()) == want
