@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import bpe, linededup, packing, shared, simhash, suffix, toxicity
 
-#: Suffix-array and packing stages have no SQL form; the pipeline is tested against brute force.
+#: Toxicity, suffix-array and packing stages have no SQL form; every stage and the whole are tested against brute force on a small fixture.
 ORACLE_SQL = None
 
 
