@@ -46,7 +46,7 @@ def norm_source_value(source: str) -> str | None:
 def source_equals(source: Column, key: Column, value: str) -> Column:
     """Exact source: normalized if both are paths, else as written. ``key`` is ``norm_source(source)``."""
     norm = norm_source_value(value)
-    return source == value if norm is None else F.coalesce(key == norm, source == value)
+    return source == value if norm is None else (key == norm) | (key.isNull() & (source == value))
 
 
 def source_has_prefix(source: Column, key: Column, prefix: str) -> Column:
@@ -55,7 +55,7 @@ def source_has_prefix(source: Column, key: Column, prefix: str) -> Column:
     if norm is None:
         return source.startswith(prefix)
     inside = (key == norm) | key.startswith(norm if norm.endswith("/") else norm + "/")
-    return F.when(key.isNotNull(), inside).otherwise(source.startswith(prefix))
+    return inside | (key.isNull() & source.startswith(prefix))
 
 
 def family_mask(source: Column) -> Column:
@@ -87,7 +87,7 @@ def path_within(path: Column, root: str) -> Column:
     norm = posixpath.normpath(root).rstrip("/") if root.startswith("/") else None
     if norm is None or "\0" in root:
         return F.lit(False)
-    return F.lit(True) & path.isNotNull() if norm == "" else F.coalesce((path == norm) | path.startswith(norm + "/"), F.lit(False))
+    return path.isNotNull() if norm == "" else (path == norm) | path.startswith(norm + "/")
 
 
 #: Bytes of the longest path that a project may be told by.

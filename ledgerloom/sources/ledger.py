@@ -264,7 +264,7 @@ def project_matches(key: str, roots: tuple[str, ...], identity_less: bool = Fals
     matches = by_key | by_root | (~c("has_project_key") & ~c("has_canonical_root") & under)
     if identity_less:
         matches = matches | (~c("has_project_key") & ~c("has_canonical_root") & ~c("has_repo_root"))
-    return F.coalesce(matches, F.lit(False))
+    return matches
 
 
 def multi_get(ledger: DataFrame, ids: list[str]) -> DataFrame:
