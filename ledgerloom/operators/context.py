@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import membership_of, role_of, type_of_key
+from ..sources.workspace import materialized_rows
 from . import clusters, normalize, topology, turns
 
 UNSCOPED = "unscoped"
@@ -51,8 +52,9 @@ def bridge(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def joined(rows: DataFrame, window_hours: float) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with ``cluster`` (the least id of it), and the links of each cluster."""
+    """``rows`` with ``cluster`` (the least id of it), and the links of each cluster. Both read one forest, written once."""
     forest = topology.constrained_forest(rows.select("id", "ts", F.col("scope").alias("project"), "owner"), bridge(rows), window_hours)
+    forest = materialized_rows(forest, "forest")
     members = rows.join(forest.select("id", F.col("component").alias("cluster")), "id")
     return members, forest.where(F.size("links") > 0).select(F.col("component").alias("cluster"), "links")
 

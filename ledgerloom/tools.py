@@ -247,30 +247,36 @@ class ContextTools:
             rows = rows.where(L.project_matches(project.key, project.roots))
         seen = materialized_rows(context.observations(rows, low, high, project.key if project else None), "observations")
         hint_key = ":".join(hint[k] for k in ("provider", "type", "id")) if hint else None
-        members, links = context.joined(context.logical(seen), gap)
+        members, links = context.joined(materialized_rows(context.logical(seen), "turns"), gap)
         members = materialized_rows(members, "members")
         window = {r.app: r.n for r in members.groupBy("app").agg(F.count("*").alias("n")).collect()}
-        made = context.derived(members, high, hint_key)
-        signals = made.signals.where("hint") if hint_key else made.signals
-        total, in_clusters = signals.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-        best = signals.orderBy(*clusters.best_first(signals, "cluster_id")).limit(limit).select("cluster", "size").collect()
-        # The atoms of the best clusters, up to the limit; of the last of these the newest.
-        room, taken = limit, []
-        for r in best:
-            taken.append((r.cluster, min(r["size"], room)))
-            room -= taken[-1][1]
-            if not room:
-                break
-        chosen = spark.createDataFrame(taken, "cluster string, _n long")
-        newest = Window.partitionBy("cluster").orderBy(F.desc("ts"), context.topology.in_text_order(F.col("id")).desc())
-        kept = members.join(F.broadcast(chosen), "cluster").withColumn("_p", F.row_number().over(newest)).where("_p <= _n").drop("_p", "_n")
-        kept = spark.createDataFrame(kept.toArrow())
+        n_window = sum(window.values())
+        if hint_key is None and n_window <= limit:
+            total, in_clusters, kept = None, n_window, members
+        else:
+            made = context.derived(members, high, hint_key)
+            signals = made.signals.where("hint") if hint_key else made.signals
+            total, in_clusters = signals.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+            best = signals.orderBy(*clusters.best_first(signals, "cluster_id")).limit(limit).select("cluster", "size").collect()
+            # The atoms of the best clusters, up to the limit; of the last of these the newest.
+            room, taken = limit, []
+            for r in best:
+                taken.append((r.cluster, min(r["size"], room)))
+                room -= taken[-1][1]
+                if not room:
+                    break
+            chosen = spark.createDataFrame(taken, "cluster string, _n long")
+            newest = Window.partitionBy("cluster").orderBy(F.desc("ts"), context.topology.in_text_order(F.col("id")).desc())
+            kept = members.join(F.broadcast(chosen), "cluster").withColumn("_p", F.row_number().over(newest)).where("_p <= _n").drop("_p", "_n")
+        # An answer's atoms, ``limit`` at most: one partition, so that nothing of them is shuffled.
+        kept = spark.createDataFrame(kept.toArrow()).coalesce(1)
         return self._answer(kept, links, high, since, until, limit, gap, format, hint, hint_key, project, own_now, window, total, in_clusters > limit, seen)
 
     def _answer(self, kept, links, high, since, until, limit, gap, format, hint, hint_key, project, own_now, window, total, cut, seen) -> dict:
         told = context.derived(kept, high, hint_key, None if own_now is None else self.at(own_now))
         order = clusters.best_first(told.signals, "cluster_id")
         heads = told.signals.withColumn("why", clusters.reasons()).orderBy(*order).collect()
+        total = len(heads) if total is None else total
         order_of = ["ts", context.topology.in_text_order(F.col("occurred_at")), context.topology.in_text_order(F.col("id"))]
         loops: dict = {}
         for r in told.loops.orderBy("ts", "id").collect():
@@ -638,7 +644,7 @@ def group_models(spark, work: dict, by: str, limit: int) -> list[dict]:
     if not rows:
         return []
     schema = "id string, cluster string, app string, ts timestamp, at string, raw long, project_key string, canonical_root string, provider string, session_id string, root_thread_id string"
-    atoms = groups.identities(spark.createDataFrame(rows, schema)).withColumn("thread", F.col("thread_group"))
+    atoms = groups.identities(spark.createDataFrame(rows, schema).coalesce(1)).withColumn("thread", F.col("thread_group"))
     atoms = atoms.withColumn("group_key", F.col(f"{by}_group"))
     counts = groups.discovery_groups(atoms).withColumn("group_id", groups.group_id(by, F.col("group_key")))
     one = atoms.groupBy("group_key").agg(*[F.min(c).alias(c) for c in ("project_quality", "thread_quality", "thread_project", "project_key", "thread_provider", "root_thread")], F.min_by("at", "ts").alias("first"), F.max_by("at", "ts").alias("last"))

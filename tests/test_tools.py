@@ -6,6 +6,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 
 from ledgerloom import cursors, tools, wire
+from ledgerloom.sources import workspace
 
 from .forkstorm import SINCE, UNTIL, rows
 
@@ -15,7 +16,7 @@ NOW = datetime(2026, 7, 22, 15, tzinfo=UTC)
 
 def over(spark, data, **args):
     made = [(*r[:4], r[4] if r[4] is None or isinstance(r[4], str) else json.dumps(r[4])) for r in data]
-    return tools.ContextTools(tools.from_events(spark.createDataFrame(made, SCHEMA)), **({"now": lambda: NOW, "sleep": lambda s: None} | args))
+    return tools.ContextTools(workspace.materialized_rows(tools.from_events(spark.createDataFrame(made, SCHEMA).coalesce(1)), "book"), **({"now": lambda: NOW, "sleep": lambda s: None} | args))
 
 
 @pytest.fixture(scope="module")
