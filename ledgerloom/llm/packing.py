@@ -239,7 +239,7 @@ def _packed(rows: DataFrame, islands: int, epochs: int, generations: int, capaci
     return state.groupBy("shard").applyInPandas(lambda key, pdf: _elect(key, pdf, capacity, spare)[names], OUT)
 
 
-def pack(rows: DataFrame, capacity: int = SEQUENCE, shard: int = SHARD, islands: int = 2, epochs: int = 2, generations: int = 20, spare: int = 4) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = SEQUENCE, shard: int = SHARD, islands: int = 2, epochs: int = 2, generations: int = 10, spare: int = 4) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns of PIECES, lengths from 1 to ``capacity``). Rows may repeat, ids may be null; no rows
     give none.
 
