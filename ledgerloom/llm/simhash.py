@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from copy import copy
 from functools import reduce
 from itertools import combinations
 
@@ -203,9 +204,10 @@ WIDE, RADIUS, DIFFER = 4, 34, 0.192
 #: Chance that a pair with so many differing bits shares a block, by which the number of blocks is chosen; rows that a block's run has of
 #: unrelated texts, about; run up to which all of its rows are compared.
 RECALL, RUN, COMPARED = 0.98, 4, 1024
-#: Nearest texts that each one is checked against first; candidates left over from which a text is checked against all rows in a block of such
-#: texts instead; bytes of the sets of a block; bits of all fingerprints that may differ then (3.2 deviations over the mean).
-NEAREST, DENSE, BLOCK_BYTES, LIMIT = 4, 64, 4 << 20, 69
+#: Nearest texts that each one is checked against first; candidates left over (counted in the first COUNTED blocks) from which a text is checked
+#: against all rows in a block of such texts instead; bytes of the sets of a block; bits of all fingerprints that may differ then (3.2
+#: deviations over the mean).
+NEAREST, DENSE, COUNTED, BLOCK_BYTES, LIMIT = 4, 8, 16, 16 << 20, 69
 #: Blocks at least; few texts cost little.
 LEAST_BLOCKS = 64
 #: Least Jaccard similarity of the shingle sets, as a fraction.
@@ -223,6 +225,12 @@ class Blocks:
         rng = np.random.default_rng(seed)
         self.chosen = np.stack([rng.permutation(64 * (1 + WIDE))[: self.bits] for _ in range(self.n)])
 
+    def first(self, n: int) -> Blocks:
+        """The first n blocks alone."""
+        out = copy(self)
+        out.n, out.chosen = min(n, self.n), self.chosen[:n]
+        return out
+
     def keys(self, prints: np.ndarray) -> np.ndarray:
         """The block keys (rows x blocks) of fingerprints (rows x 1 + WIDE), each with its block's number above its bits."""
         bits = np.unpackbits(np.ascontiguousarray(prints).astype(">u8").view(np.uint8).reshape(len(prints), -1), axis=1)
@@ -289,9 +297,11 @@ def candidates(classes: DataFrame, blocks: Blocks, what: str) -> DataFrame:
     """Pairs of nodes (columns node, comp, size of the component, dense, fp, x1 to x<WIDE>) of different components that agree on a block and
     differ in up to RADIUS bits. A pair is told by its node of the smaller component, of two alike the lower.
 
-    ``what``: nearest (columns a, b, d: for each node of a run its nearest one), counts (node, n: how many pairs are told by a node, those of
-    several blocks counted each) or pairs (a, b: all whose node is not dense).
+    ``what``: nearest (columns a, b, d: for each node of a run its nearest one), counts (node, n: how many pairs are told by a node in the first
+    blocks, once for each task) or pairs (a, b: all whose node is not dense).
     """
+    if what == "counts":
+        blocks = blocks.first(COUNTED)
     names = ["fp", *[f"x{k + 1}" for k in range(WIDE)]]
     own = ("node", "comp", "size", "dense", "fp", "x1")
 
@@ -308,22 +318,23 @@ def candidates(classes: DataFrame, blocks: Blocks, what: str) -> DataFrame:
     rows = classes.select("node", "comp", F.col("size").cast("long"), "dense", *names).mapInArrow(spread, columns).repartition(shuffle_width(classes.sparkSession), "key").sortWithinPartitions("key")
 
     def run(batches):
-        held = None
+        held, parts = None, []
         for b in batches:
             cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", *own)]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))
             held = [c[last:].copy() for c in cols]
-            yield from found([c[:last] for c in cols])
+            yield from found([c[:last] for c in cols], parts)
         if held is not None:
-            yield from found(held)
+            yield from found(held, parts)
+        if parts:
+            yield _pairs(parts, what)
 
-    def found(cols):
+    def found(cols, parts: list[tuple]):
         if len(cols[0]) < 2:
             return
         key, node, comp, size, dense = cols[:5]
-        parts: list[tuple] = []
         for i, j, d in pairs_in_runs(key, comp, cols[5].view(np.uint64), cols[6].view(np.uint64)):
             if not len(i):
                 continue
@@ -340,10 +351,12 @@ def candidates(classes: DataFrame, blocks: Blocks, what: str) -> DataFrame:
                     k = ~dense[tells]
                     parts.append((np.minimum(node[i[k]], node[j[k]]), np.maximum(node[i[k]], node[j[k]])))
             if sum(len(x[0]) for x in parts) > 1 << 18:
-                yield _pairs(parts, what)
-                parts = []
-        if parts:
-            yield _pairs(parts, what)
+                if what == "counts":
+                    nodes, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+                    parts[:] = [(nodes, np.bincount(of, np.concatenate([n for _, n in parts])).astype(np.int64))]
+                if what != "counts" or len(parts[0][0]) > 1 << 17:
+                    yield _pairs(parts, what)
+                    parts.clear()
 
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS[what]))
 
@@ -352,6 +365,9 @@ COLUMNS = {"nearest": ("a", "b", "d"), "counts": ("node", "n"), "pairs": ("a", "
 
 
 def _pairs(parts: list[tuple], what: str) -> pa.RecordBatch:
+    if what == "counts":
+        nodes, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        parts = [(nodes, np.bincount(of, np.concatenate([n for _, n in parts])))]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)], list(COLUMNS[what]))
 
 
@@ -401,9 +417,10 @@ def dense_links(placed: DataFrame, dense: DataFrame, sets_of) -> DataFrame:
             """(row, node of the block) that may be similar, of other components."""
             x, comp = np.stack([b.column(c).to_numpy().view(np.uint64) for c in names], 1), b.column("comp").to_numpy()
             for at in range(0, len(x), 256):
-                d = sum(_popcount(x[at : at + 256, None, w] ^ bits[None, :, w]).astype(np.int64) for w in range(len(names)))
-                i, j = np.nonzero((d <= LIMIT) & (comp[at : at + 256, None] != of[None, :]))
-                yield i + at, j
+                d = _popcount(x[at : at + 256, None, 0] ^ bits[None, :, 0]) + _popcount(x[at : at + 256, None, 1] ^ bits[None, :, 1])
+                i, j = np.nonzero((d <= RADIUS) & (comp[at : at + 256, None] != of[None, :]))
+                k = _popcount(x[i + at] ^ bits[j]).sum(1, dtype=np.int64) <= LIMIT
+                yield i[k] + at, j[k]
 
         def partners(batches, close=close):
             for b in batches:
