@@ -79,18 +79,6 @@ def uuid7_millis(identifier: Column) -> Column:
     return F.when(valid, F.conv(F.substring(F.replace(identifier, F.lit("-"), F.lit("")), 1, 12), 16, 10).cast("bigint"))
 
 
-def observation_kind(thread: Column, started_ms: Column, logical: Column, user: Column, assistant: Column, local: Column, conflict: Column) -> Column:
-    """original, inherited (a turn from over a second before the session began) or unknown."""
-    differ = F.coalesce(user != assistant, F.lit(False))
-    alike = F.coalesce((user == assistant) & logical.isNotNull(), F.lit(False))
-    before = F.coalesce(uuid7_millis(logical) + 1000 < started_ms, F.lit(False))
-    return (
-        F.when(F.coalesce(conflict, F.lit(False)) | differ, "unknown").when(thread == "root", "original")
-        .when(F.coalesce(thread, F.lit("")) != "subagent", "unknown").when(F.coalesce(local, F.lit(False)), "original")
-        .when(alike & before, "inherited").otherwise("unknown")
-    )
-
-
 def iso_millis(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

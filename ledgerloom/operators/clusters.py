@@ -82,9 +82,10 @@ def open_loops(members: DataFrame, key: str = "cluster", question: str = "?") ->
     return out.select(key, "id", "ts", "kind", "text", sure.alias("confidence"), by.alias("resolved_by"))
 
 
-def rank_signals(atoms: DataFrame, until: Column, key: str = "cluster", now: Column | None = None) -> DataFrame:
+def rank_signals(atoms: DataFrame, until: Column, key: str = "cluster", now: Column | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
     """size, median age (microseconds before ``until``), recency (an hour, both ends closed), density, breadth, whether git is among the
-    apps, and whether all is recent work of a single one (of five minutes before ``now``; false where that is not given)."""
+    apps, and whether all is recent work of a single one (of five minutes before ``now``; false where that is not given); ``more`` aggregates
+    come along."""
     age = micros(until) - micros(F.col("ts"))
     apps = F.countDistinct("app")
     own = F.lit(False) if now is None else (apps == 1) & (micros(now) - F.max(micros(F.col("ts"))) <= OWN_WORK_US)
@@ -97,6 +98,7 @@ def rank_signals(atoms: DataFrame, until: Column, key: str = "cluster", now: Col
         F.bool_or(F.col("app") == "git").alias("has_git"),
         own.alias("own_recent"),
         F.min("id").alias("first_id"),
+        *more,
     )
 
 

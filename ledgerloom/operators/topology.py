@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import materialized_rows
+
 MAX_ARTIFACTS = 32
 STRONG, WEAK, LINEAGE = 0, 1, 2
 #: A time line is cut into stretches of a day, or of the window where that is longer, so that no task sorts the whole of a busy key.
@@ -124,6 +126,8 @@ def constrained_forest(atoms: DataFrame, bridge: DataFrame, window_hours: float
     The task only decides; further keys of an accepted pair, the first 32 in order, are gathered by an aggregation.
     """
     runs, edges = forest_runs(atoms, bridge, window_hours)
+    # Read by the decisions and by the keys; both are written once.
+    edges = materialized_rows(edges, "edges")
     none = lambda kind: F.lit(None).cast(kind)
     nodes = runs.select("project", "run", "id", "owner", none("int").alias("phase"), none("int").alias("place"), none("string").alias("to_id"))
     rows = nodes.unionByName(edges.select("project", "run", F.col("from_id").alias("id"), none("string").alias("owner"), "phase", "place", "to_id"))
@@ -132,27 +136,25 @@ def constrained_forest(atoms: DataFrame, bridge: DataFrame, window_hours: float
         own, links = pdf[pdf["phase"].isna()], pdf[pdf["phase"].notna()].sort_values("place")
         owners = {i: (o if isinstance(o, str) else None) for i, o in zip(own["id"], own["owner"], strict=True)}
         tree, made = tree_edges(list(zip(links["phase"].astype(int), links["id"], links["to_id"], strict=True)), owners)
-        places = links["place"].astype("int64").iloc[made].tolist()
         first = {"project": pdf["project"].iloc[0], "run": pdf["run"].iloc[0]}
-        out = [pd.DataFrame({"id": list(tree), "component": list(tree.values()), "place": None})]
-        if places:
-            out.append(pd.DataFrame({"id": links["id"].iloc[made].tolist(), "component": [tree[i] for i in links["id"].iloc[made]], "place": places}))
-        return pd.concat(out).assign(**first)[["project", "run", "id", "component", "place"]]
+        out = [pd.DataFrame({"id": list(tree), "component": list(tree.values()), "to_id": None, "made": None})]
+        if made:
+            kept = links.iloc[made]
+            out.append(pd.DataFrame({"id": kept["id"].tolist(), "component": [tree[i] for i in kept["id"]], "to_id": kept["to_id"].tolist(), "made": kept["place"].astype("int64").tolist()}))
+        return pd.concat(out).assign(**first)[["project", "run", "id", "component", "to_id", "made"]]
 
-    decided = rows.groupBy("project", "run").applyInPandas(decide, "project string, run long, id string, component string, place int")
+    decided = materialized_rows(rows.groupBy("project", "run").applyInPandas(decide, "project string, run long, id string, component string, to_id string, made int"), "decided")
     # The keys of a pair: that it was accepted by, then those of its later candidates, without lineage; 32 at most.
     ends = lambda a, b: (F.least(a, b).alias("from"), F.greatest(a, b).alias("to"))
-    made = decided.where("place is not null").select("project", "run", "component", F.col("place").alias("made"))
-    pairs = edges.select("project", "run", "place", "phase", "key", *ends("from_id", "to_id"))
-    accepted = pairs.join(made, (pairs["project"].eqNullSafe(made["project"])) & (pairs["run"] == made["run"]) & (pairs["place"] == made["made"]))
-    accepted = accepted.select(pairs["project"], "from", "to", "component", "made")
-    later = pairs.join(accepted.withColumnsRenamed({"project": "p", "from": "f", "to": "t"}), F.col("project").eqNullSafe(F.col("p")) & (F.col("from") == F.col("f")) & (F.col("to") == F.col("t")))
+    accepted = decided.where("made is not null").select(F.col("project").alias("p"), "component", "made", *ends("id", "to_id"))
+    pairs = edges.select("project", "place", "phase", "key", *ends("from_id", "to_id"))
+    later = pairs.join(accepted, ["from", "to"]).where(F.col("project").eqNullSafe(F.col("p")))
     later = later.where((F.col("place") == F.col("made")) | ((F.col("place") > F.col("made")) & (F.col("phase") < LINEAGE)))
     keys = later.groupBy("project", "component", "from", "to").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("k"))
     keys = keys.select("project", "component", F.struct("from", "to", F.array_sort(F.slice(F.array_distinct("k.key"), 1, MAX_ARTIFACTS)).alias("keys")).alias("link"))
     links = keys.groupBy("project", "component").agg(F.array_sort(F.collect_list("link")).alias("links")).withColumnsRenamed({"project": "p", "component": "c"})
-    members = decided.where("place is null").select("project", "id", "component")
-    out = members.join(links, F.col("project").eqNullSafe(F.col("p")) & (F.col("id") == F.col("c")), "left")
+    members = decided.where("made is null").select("project", "id", "component")
+    out = members.join(links, (F.col("id") == F.col("c")) & F.col("project").eqNullSafe(F.col("p")), "left")
     empty = F.array().cast("array<struct<`from`: string, `to`: string, keys: array<string>>>")
     return out.select("project", "id", "component", F.coalesce("links", empty).alias("links"))
 

@@ -110,10 +110,9 @@ def signals(spark, sf_dir) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gap-bounded lineage clusters with size, app breakdown, time range and median age, ranked."""
-    c = components(spark, sf_dir)
-    facts = c.groupBy("cluster").agg(text.iso_millis(F.min("ts")).alias("ts_from"), text.iso_millis(F.max("ts")).alias("ts_to"), clusters.cluster_id(F.collect_list("id")).alias("cluster_id"))
-    ranked = clusters.ranked(clusters.rank_signals(c, F.expr(UNTIL)))
-    return ranked.join(facts, "cluster").select("cluster", "cluster_id", "rank", "size", "median_age", "recent", "dense", "cross_tool", "ts_from", "ts_to")
+    facts = (text.iso_millis(F.min("ts")).alias("ts_from"), text.iso_millis(F.max("ts")).alias("ts_to"), clusters.cluster_id(F.collect_list("id")).alias("cluster_id"))
+    ranked = clusters.ranked(clusters.rank_signals(components(spark, sf_dir), F.expr(UNTIL), more=facts))
+    return ranked.select("cluster", "cluster_id", "rank", "size", "median_age", "recent", "dense", "cross_tool", "ts_from", "ts_to")
 
 
 ISO = "strftime(%s, '%%Y-%%m-%%dT%%H:%%M:%%S.%%gZ')"

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import cursors, wire
 from .functions import text
+from .messages import told
 from .operators import clusters, context, groups, normalize
 from .sources import ledger as L
 from .sources.workspace import materialized_rows
@@ -28,7 +29,6 @@ SEARCH_DEFAULT, SEARCH_MOST, CLUSTER_DEFAULT, CLUSTER_MOST, IDS_MOST, SOURCES_MO
 LOOKBACK_HOURS, EXPANDED_HOURS, ID_CAPS, RESERVE = 4, 24, (200, 50, 25, 12, 6, 3, 1), 1024
 #: Sources of derived signals and of the manifests of the runs that made them.
 SIGNALS, MANIFESTS = "derived:granola-signals", "derived:granola-signals-index"
-TZ_WARNING = "[TZ] input.since or input.until lacks a TZ specifier and was parsed as local time; pass an explicit Z or +HH:MM to avoid ambiguity"
 ISO = re.compile(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}")
 FORM = "%Y-%m-%dT%H:%M:%S.%f"
 
@@ -170,25 +170,24 @@ class ContextTools:
         found = [self.row(r) for r in scan.run(rows).select("id", "source", "timestamp", "content", "metadata").collect()]
         after = lambda r: cursors.page_cursor(r["timestamp"], r["id"])
         kept, following = found[:n], after(found[n - 1]) if len(found) > n else None
-        warnings = self._selector_warnings(source, source_prefix, source_app) + ([TZ_WARNING] if any(b is not None and not has_tz(b) for b in (since, until)) else [])
+        warnings = self._selector_warnings(source, source_prefix, source_app) + ([told("TZ")] if any(b is not None and not has_tz(b) for b in (since, until)) else [])
         echo = {"query": query, "source_app": source_app, "source_prefix": source_prefix, "source": source, "since": since, "until": until, "cursor": cursor, "limit": n, "repo_path": project.path if project else None, "metadata_match": metadata_match}
         if wire.size(echo) > wire.ECHO_BYTES:
             echo = self._short_echo(echo)
-            warnings.append(f"[SEARCH_QUERY_ECHO_CAP] query_echo was clipped to {wire.ECHO_BYTES} UTF-8 JSON bytes; filtering still used the full input")
+            warnings.append(told("SEARCH_QUERY_ECHO_CAP", cap=wire.ECHO_BYTES))
         views = [wire.match_view(r) for r in kept]
 
         def answer(matches: list[dict], to: str | None, more: list[str]) -> dict:
-            cap = ["[SEARCH_METADATA_CAP] one or more matches omitted metadata keys; inspect metadata_keys_omitted. get_atom(id) can recover verbatim content when it fits, but metadata remains projected; read the captured source when exact metadata is required"]
+            cap = [told("SEARCH_METADATA_CAP")]
             return {"matches": matches, "total_returned": len(matches), "limit_applied": n, "next_cursor": to, "query_echo": echo, "warnings": warnings + cap * any("metadata_keys_omitted" in m for m in matches) + more}
 
         out = answer(views, following, [])
         for k in range(len(kept), 0, -1):
             if wire.size(out) <= wire.ANSWER_BYTES:
                 return out
-            out = answer(views[:k], after(kept[k - 1]), [f"[SEARCH_RESPONSE_CAP] returned newest {k} of {len(views)} candidate matches; next_cursor resumes after the last returned match"])
+            out = answer(views[:k], after(kept[k - 1]), [told("SEARCH_RESPONSE_CAP", n=k, all=len(views))])
         if wire.size(out) > wire.ANSWER_BYTES and kept:
-            told = "[SEARCH_RESPONSE_CAP] newest match required an identity-only stub; use get_atom(id) for verbatim content when it fits, but metadata remains projected"
-            out = answer([wire.stub_view(kept[0])], after(kept[0]), [told])
+            out = answer([wire.stub_view(kept[0])], after(kept[0]), [told("SEARCH_RESPONSE_STUB")])
         return out
 
     @staticmethod
@@ -196,7 +195,7 @@ class ContextTools:
         given = [name for name, v in (("source", source), ("source_prefix", prefix), ("source_app", app)) if v is not None]
         if len(given) < 2:
             return []
-        return [f"[SOURCE_SELECTOR_PRECEDENCE] applied {given[0]}; ignored {', '.join(given[1:])}. Pass one source selector per call."]
+        return [told("SOURCE_SELECTOR_PRECEDENCE", applied=given[0], ignored=", ".join(given[1:]))]
 
     @staticmethod
     def _short_echo(echo: dict) -> dict:
@@ -227,10 +226,9 @@ class ContextTools:
             if all(own):
                 trigger = "single-source-recent" if own else "empty"
                 out = self._pass(iso(instant(end) - timedelta(hours=EXPANDED_HOURS)), end, n, gap, format, artifact_hint, project, now if own else None)
-                told = "returned only single-source-recent clusters (likely the calling session's own activity)" if own else "returned 0 clusters"
-                out["warnings"].append(f"[AUTO_EXPAND] {trigger} no-args call: 4h default {told}; auto-expanded to {EXPANDED_HOURS}h. Pass explicit `since`/`until` to suppress this fallback.")
+                out["warnings"].append(told("AUTO_EXPAND", trigger=trigger, why=told("ONLY_OWN_WORK" if own else "NOTHING"), hours=EXPANDED_HOURS))
         if any(b is not None and not has_tz(b) for b in (since, until)):
-            out["warnings"].append(TZ_WARNING)
+            out["warnings"].append(told("TZ"))
         if format == "minimal":
             out["atoms"] = {k: wire.minimal_atom(a) for k, a in out["atoms"].items()}
         return out
@@ -273,19 +271,19 @@ class ContextTools:
         return self._answer(kept, links, high, since, until, limit, gap, format, hint, hint_key, project, own_now, window, total, in_clusters > limit, seen)
 
     def _answer(self, kept, links, high, since, until, limit, gap, format, hint, hint_key, project, own_now, window, total, cut, seen) -> dict:
-        told = context.derived(kept, high, hint_key, None if own_now is None else self.at(own_now))
-        order = clusters.best_first(told.signals, "cluster_id")
-        heads = told.signals.withColumn("why", clusters.reasons()).orderBy(*order).collect()
+        derived = context.derived(kept, high, hint_key, None if own_now is None else self.at(own_now))
+        order = clusters.best_first(derived.signals, "cluster_id")
+        heads = derived.signals.withColumn("why", clusters.reasons()).orderBy(*order).collect()
         total = len(heads) if total is None else total
         order_of = ["ts", context.topology.in_text_order(F.col("occurred_at")), context.topology.in_text_order(F.col("id"))]
         loops: dict = {}
-        for r in told.loops.orderBy("ts", "id").collect():
+        for r in derived.loops.orderBy("ts", "id").collect():
             entry = {"atom_id": r.id, "kind": r.kind, "text": r.text, "confidence": r.confidence, "resolved": r.resolved_by is not None}
             loops.setdefault(r.cluster, []).append(entry | ({"resolved_by_atom_id": r.resolved_by} if r.resolved_by is not None else {}))
         anchors: dict = {}
-        for r in told.anchors.orderBy("cluster", "place").collect():
+        for r in derived.anchors.orderBy("cluster", "place").collect():
             anchors.setdefault(r.cluster, []).append({k: v for k, v in r.ref.asDict().items() if v is not None})
-        names = {r.cluster: r.label for r in told.labels.collect()}
+        names = {r.cluster: r.label for r in derived.labels.collect()}
         edges: dict = {}
         for r in context.kept_links(links, kept).orderBy("from", "to").collect():
             edges.setdefault(r.cluster, []).append({"from": r["from"], "to": r["to"], "kind": "shared_artifact", "artifact_ids": list(r["keys"]), "confidence": "high"})
@@ -306,7 +304,7 @@ class ContextTools:
             found.append(c | ({"label": names[h.cluster]} if h.cluster in names else {}))
         warnings = normalize.error_warnings([(r.error, r.n) for r in normalize.errors(seen).orderBy("error").collect()])
         if total > len(found):
-            warnings.append(f"limit dropped {total - len(found)} entire cluster(s); raise `limit` or narrow the (since, until) window to retain them")
+            warnings.append(told("CLUSTERS_DROPPED", n=total - len(found)))
         return {
             "schema_version": 1, "tool": "get_recent_work_context",
             "query": {"since": since, "until": until, "artifact_hint": hint, "format": format, "window_hours": gap, "repo_path": project.path if project else None},
@@ -343,11 +341,11 @@ class ContextTools:
             shown = shown[:-1]
         more = []
         if short and cap != ID_CAPS[0]:
-            more.append(f"[FIND_CLUSTERS_ID_BUDGET] retained at most {cap} IDs per cluster to preserve cluster headers; use atom_ids_total and narrow the time window for full membership")
+            more.append(told("FIND_CLUSTERS_ID_BUDGET", cap=cap))
         elif any("atom_ids_truncated" in c for c in shown):
-            more.append(f"[FIND_CLUSTERS_ID_CAP] a cluster exceeded the {ID_CAPS[0]}-ID safety cap; narrow the time window for full membership")
+            more.append(told("FIND_CLUSTERS_ID_CAP", cap=ID_CAPS[0]))
         if len(shown) < whole:
-            more.append(f"[FIND_CLUSTERS_RESPONSE_CAP] response retained {len(shown)} of {whole} clusters under the {wire.ANSWER_BYTES}-byte ceiling; narrow since/until for full coverage")
+            more.append(told("FIND_CLUSTERS_RESPONSE_CAP", n=len(shown), all=whole, ceiling=wire.ANSWER_BYTES))
         return answer(shown, more, bool(more))
 
     # Groups ----------------------------------------------------------------------------------------------------------------------------
@@ -402,7 +400,7 @@ class ContextTools:
             def members(n: int, shortened: bool) -> dict:
                 ids = model["order"][at["offset"] : at["offset"] + n]
                 extra = {"membership_page": {"group_id": at["group"], "atom_ids": ids, "atoms_returned": len(ids), "atoms_total": len(model["order"])}}
-                more = [f"[FIND_CLUSTERS_MEMBER_PAGE_BUDGET] returned {n} member IDs instead of {page}; pass next_cursor to continue"] if shortened else []
+                more = [told("FIND_CLUSTERS_MEMBER_PAGE_BUDGET", n=n, asked=page)] if shortened else []
                 return answer("members", [model["wire"] | {"membership_cursor": None}], ids, member_cursor(model, at["offset"] + n), more, extra)
 
             return fitting(min(page, len(model["order"]) - at["offset"]), members, "member ID")
@@ -414,7 +412,7 @@ class ContextTools:
         def headers(n: int, shortened: bool) -> dict:
             shown = [m["wire"] | {"membership_cursor": member_cursor(m, len(m["wire"]["representative_atom_ids"]))} for m in models[first : first + n]]
             to = cursors.group_cursor("groups", group_by, *frozen, first + n, page, reps, whole) if first + n < len(models) else None
-            more = [f"[FIND_CLUSTERS_GROUP_PAGE_BUDGET] returned {n} group headers instead of the requested {page}; pass next_cursor to continue"] if shortened else []
+            more = [told("FIND_CLUSTERS_GROUP_PAGE_BUDGET", n=n, asked=page)] if shortened else []
             return answer("groups", shown, [i for g in shown for i in g["representative_atom_ids"]], to, more)
 
         return fitting(min(page, len(models) - first), headers, "grouped header")
@@ -463,13 +461,13 @@ class ContextTools:
         deferred = sum(j in have for j in dropped)
         to, warnings = None, []
         if stop is not None and not atoms:
-            warnings.append('[GET_ATOMS_RESPONSE_CAP] even the first projected atom exceeded the response budget; no looping cursor was emitted. Retry with fields=["content"] or fields=["metadata"], or use get_atom(id)')
+            warnings.append(told("GET_ATOMS_FIRST_TOO_LONG"))
         elif stop is not None:
             at = [k for k in range(start, len(order)) if cursor is None or order[k] in have][stop]
             to = cursors.continuation_cursor(request, process, at)
-            warnings.append(f"[GET_ATOMS_RESPONSE_CAP] returned a process-order prefix; {deferred} existing ID entries are deferred behind next_cursor")
+            warnings.append(told("GET_ATOMS_RESPONSE_CAP", n=deferred))
         if missing:
-            warnings.append(f"[GET_ATOMS_MISSING_IDS] {missing} requested ID entries were not found")
+            warnings.append(told("GET_ATOMS_MISSING_IDS", n=missing))
         return self._hydrated(atoms, dropped, warnings, wire.ANSWER_BYTES, missing, deferred, to)
 
     @staticmethod
@@ -490,7 +488,7 @@ class ContextTools:
         out = {"schema_version": 1, "tool": "get_atoms", "atoms": list(atoms), "atoms_dropped": len(dropped), "atoms_dropped_ids": list(dropped), "atoms_missing": missing, "atoms_deferred": deferred, "next_cursor": to, "warnings": list(warnings)}
         if wire.size(out) <= ceiling or not dropped:
             return out
-        out["warnings"].append("[GET_ATOMS_DROPPED_ID_CAP] atoms_dropped_ids is a bounded process-order prefix; atoms_dropped and atoms_dropped_ids_omitted retain exact omission counts")
+        out["warnings"].append(told("GET_ATOMS_DROPPED_ID_CAP"))
         out["atoms_dropped_ids_omitted"] = 0
         while out["atoms_dropped_ids"] and wire.size(out) > ceiling:
             out["atoms_dropped_ids"].pop()
@@ -503,8 +501,7 @@ class ContextTools:
             raise ValueError("get_atom: id is required and must be a non-empty string")
         row = self._rows([id]).get(id)
         if row is None:
-            told = f"No atom with id={id} exists in storage. Verify the id was obtained from a current find_clusters / search_memories / get_atoms response — atom IDs are storage row IDs and cannot be guessed."
-            return {"schema_version": 1, "tool": "get_atom", "atom": None, "atom_size_bytes": 0, "error_code": "atom_not_found", "source": None, "warnings": [told]}
+            return {"schema_version": 1, "tool": "get_atom", "atom": None, "atom_size_bytes": 0, "error_code": "atom_not_found", "source": None, "warnings": [told("ATOM_NOT_FOUND", id=id)]}
         m = wire.match_view(row)
         atom = {k: m[k] for k in ("id", "source", "timestamp")} | {"content": row["content"], "truncations": [t for t in m["truncations"] if t != "content"]}
         atom |= {"metadata": m["metadata"]} if "metadata" in m else {}
@@ -512,10 +509,8 @@ class ContextTools:
         out = {"schema_version": 1, "tool": "get_atom", "atom": atom, "atom_size_bytes": n, "warnings": []}
         if wire.size(out) <= wire.ANSWER_BYTES:
             return out
-        told = ["Atom JSON exceeds 25_000-byte MCP envelope ceiling even with metadata projection; cannot transmit over MCP. Read source path directly to recover full content."]
-        if "source" in m["truncations"]:
-            told.append("[GET_ATOM_SOURCE_CAP] source pointer was clipped by serialized JSON cost; use the atom ID or local storage for exact recovery")
-        return {"schema_version": 1, "tool": "get_atom", "atom": None, "atom_size_bytes": n, "error_code": "atom_too_large_for_wire", "source": m["source"], "warnings": told}
+        why = [told("ATOM_TOO_LARGE")] + [told("GET_ATOM_SOURCE_CAP")] * ("source" in m["truncations"])
+        return {"schema_version": 1, "tool": "get_atom", "atom": None, "atom_size_bytes": n, "error_code": "atom_too_large_for_wire", "source": m["source"], "warnings": why}
 
     # Newest sources and new turns ------------------------------------------------------------------------------------------------------
     def _active(self) -> DataFrame:
@@ -565,7 +560,7 @@ class ContextTools:
             raise ValueError(f"wait_for_new_turns: sources exceeds max {SOURCES_MOST} per call")
         if not since or not ISO.match(since):
             raise ValueError("wait_for_new_turns: since must be a valid ISO 8601 timestamp")
-        warnings = [] if has_tz(since) else [TZ_WARNING]
+        warnings = [] if has_tz(since) else [told("TZ")]
         begin, project, apps = iso(instant(since)), self.project("wait_for_new_turns", repo_path), self.prefixes()
         exact = [s for s in dict.fromkeys(sources or ()) if s not in apps]
         prefixes = list(dict.fromkeys([apps[s] for s in sources or () if s in apps] + ([source_prefix] if source_prefix else [])))
@@ -577,11 +572,11 @@ class ContextTools:
             page = self.poll(exact, prefixes, begin, project).collect()
         to = page[-1].timestamp if page else begin
         if instant(to) > self.now():
-            told = iso(self.now())
-            warnings.append(f"[NEXT_SINCE_CLAMP] computed next_since {to} is ahead of server time; clamped to {told} — a future watermark (usually a stripped or missing UTC offset in since) would hide every new turn from the chained call")
-            to = told
+            now = iso(self.now())
+            warnings.append(told("NEXT_SINCE_CLAMP", to=to, now=now))
+            to = now
         if len(page) > TURNS_MOST or len(page) == TURNS_MOST and self._more(exact, prefixes, page[-1].timestamp, project):
-            warnings.append(f"wait_for_new_turns: more than {TURNS_MOST} new turns matched; returning the oldest {len(page)} — chain immediately with next_since to page through the backlog")
+            warnings.append(told("MORE_TURNS", most=TURNS_MOST, n=len(page)))
         return {"schema_version": 1, "tool": "wait_for_new_turns", "turn_ids": [r.id for r in page], "next_since": to, "timed_out": not page, "warnings": warnings}
 
     def _more(self, exact, prefixes, since, project) -> bool:
@@ -656,17 +651,17 @@ def group_models(spark, work: dict, by: str, limit: int) -> list[dict]:
     out = []
     for h in heads:
         members = order[h.group_key]
-        told = {
+        shown = {
             "group_id": h.group_id, "identity_quality": h[f"{by}_quality"], "project_key": h.project_key if by == "project" else h.thread_project, "canonical_root": h.canonical_root, "repo_path": h.canonical_root,
             "unique_turn_count": h.turns, "raw_observation_count": h.raw_observations, "collapsed_observation_count": h.collapsed, "representative_atom_ids": [i for i, rep in members if rep],
             "source_breakdown": dict(sorted(h.by_app.items())), "time_range": {"from": h["first"], "to": h["last"]},
         }
         if by == "thread":
-            told |= {k: v for k, v in (("provider", h.thread_provider), ("root_thread_id", h.root_thread)) if v is not None}
+            shown |= {k: v for k, v in (("provider", h.thread_provider), ("root_thread_id", h.root_thread)) if v is not None}
         else:
-            told["thread_count"] = h.threads
+            shown["thread_count"] = h.threads
         ids = [i for i, _ in members]
-        out.append({"wire": told, "order": ids, "digest": cursors.digest({"group_id": h.group_id, "member_order": ids, "raw_observation_count": h.raw_observations})})
+        out.append({"wire": shown, "order": ids, "digest": cursors.digest({"group_id": h.group_id, "member_order": ids, "raw_observation_count": h.raw_observations})})
     return sorted(sorted(out, key=lambda m: m["wire"]["group_id"]), key=lambda m: instant(m["wire"]["time_range"]["to"]), reverse=True)
 
 
@@ -678,8 +673,8 @@ def capped_context(answer: dict, ceiling: int = wire.ANSWER_BYTES) -> dict:
         kept = answer["clusters"][:n]
         ids = {i for c in kept for i in c["atom_ids"]}
         atoms = {k: v for k, v in answer["atoms"].items() if k in ids}
-        told = f"[RECENT_WORK_CONTEXT_RESPONSE_CAP] dropped {len(answer['clusters']) - n} lowest-ranked whole cluster(s) and their atom bodies to keep the deprecated compound response below {ceiling} UTF-8 bytes; use find_clusters + get_atoms for complete targeted hydration"
-        out = answer | {"clusters": kept, "atoms": atoms, "truncation": answer["truncation"] | {"atoms_returned": len(atoms), "clusters_returned": n, "truncated": True}, "warnings": answer["warnings"] + [told]}
+        why = told("RECENT_WORK_CONTEXT_RESPONSE_CAP", n=len(answer["clusters"]) - n, ceiling=ceiling)
+        out = answer | {"clusters": kept, "atoms": atoms, "truncation": answer["truncation"] | {"atoms_returned": len(atoms), "clusters_returned": n, "truncated": True}, "warnings": answer["warnings"] + [why]}
         if wire.size(out) < ceiling:
             return out
     return out
