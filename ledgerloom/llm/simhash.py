@@ -204,10 +204,11 @@ WIDE, RADIUS, DIFFER = 4, 34, 0.192
 #: Chance that a pair with so many differing bits shares a block, by which the number of blocks is chosen; rows that a block's run has of
 #: unrelated texts, about; run up to which all of its rows are compared.
 RECALL, RUN, COMPARED = 0.98, 4, 1024
-#: Nearest texts that each one is checked against first; candidates left over (counted in the first COUNTED blocks) from which a text is checked
+#: Nearest texts that each one is checked against first (of those that it meets in the first FIRST blocks); candidates left over (counted in the
+#: first COUNTED blocks) from which a text is checked
 #: against all rows in a block of such texts instead; bytes of the sets of a block; bits of all fingerprints that may differ then (3.2
 #: deviations over the mean).
-NEAREST, DENSE, COUNTED, BLOCK_BYTES, LIMIT = 4, 8, 16, 16 << 20, 69
+NEAREST, FIRST, DENSE, COUNTED, BLOCK_BYTES, LIMIT = 4, 32, 8, 16, 16 << 20, 69
 #: Blocks at least; few texts cost little.
 LEAST_BLOCKS = 64
 #: Least Jaccard similarity of the shingle sets, as a fraction.
@@ -297,11 +298,11 @@ def candidates(classes: DataFrame, blocks: Blocks, what: str) -> DataFrame:
     """Pairs of nodes (columns node, comp, size of the component, dense, fp, x1 to x<WIDE>) of different components that agree on a block and
     differ in up to RADIUS bits. A pair is told by its node of the smaller component, of two alike the lower.
 
-    ``what``: nearest (columns a, b, d: for each node of a run its nearest one), counts (node, n: how many pairs are told by a node in the first
-    blocks, once for each task) or pairs (a, b: all whose node is not dense).
+    ``what``: nearest (columns a, b, d: for each node the nearest one that it meets in a task, in the first blocks), counts (node, n: how many
+    pairs are told by a node in the first blocks, once for each task) or pairs (a, b: all whose node is not dense).
     """
-    if what == "counts":
-        blocks = blocks.first(COUNTED)
+    if what != "pairs":
+        blocks = blocks.first(COUNTED if what == "counts" else FIRST)
     names = ["fp", *[f"x{k + 1}" for k in range(WIDE)]]
     own = ("node", "comp", "size", "dense", "fp", "x1")
 
@@ -339,10 +340,7 @@ def candidates(classes: DataFrame, blocks: Blocks, what: str) -> DataFrame:
             if not len(i):
                 continue
             if what == "nearest":
-                a, b, d = node[np.concatenate([i, j])], node[np.concatenate([j, i])], np.concatenate([d, d])
-                order = np.lexsort((b, d, a))
-                first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])]
-                parts.append((a[first], b[first], d[first]))
+                parts.append(_nearest([(node[np.concatenate([i, j])], node[np.concatenate([j, i])], np.concatenate([d, d]))]))
             else:
                 tells = np.where((size[i] < size[j]) | ((size[i] == size[j]) & (node[i] < node[j])), i, j)
                 if what == "counts":
@@ -351,24 +349,42 @@ def candidates(classes: DataFrame, blocks: Blocks, what: str) -> DataFrame:
                     k = ~dense[tells]
                     parts.append((np.minimum(node[i[k]], node[j[k]]), np.maximum(node[i[k]], node[j[k]])))
             if sum(len(x[0]) for x in parts) > 1 << 18:
-                if what == "counts":
-                    nodes, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-                    parts[:] = [(nodes, np.bincount(of, np.concatenate([n for _, n in parts])).astype(np.int64))]
-                if what != "counts" or len(parts[0][0]) > 1 << 17:
+                parts[:] = [TOGETHER[what](parts)]
+                if len(parts[0][0]) > 1 << 17:
                     yield _pairs(parts, what)
                     parts.clear()
 
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in COLUMNS[what]))
 
 
+def _nearest(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Of each first node the nearest second one."""
+    a, b, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((b, d, a))
+    first = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(order) else order
+    return a[first], b[first], d[first]
+
+
+def _summed(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    nodes, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return nodes, np.bincount(of, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+def _distinct(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+    a, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[first], b[first]
+
+
 COLUMNS = {"nearest": ("a", "b", "d"), "counts": ("node", "n"), "pairs": ("a", "b")}
+TOGETHER = {"nearest": _nearest, "counts": _summed, "pairs": _distinct}
 
 
 def _pairs(parts: list[tuple], what: str) -> pa.RecordBatch:
-    if what == "counts":
-        nodes, of = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-        parts = [(nodes, np.bincount(of, np.concatenate([n for _, n in parts])))]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)], list(COLUMNS[what]))
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in TOGETHER[what](parts)], list(COLUMNS[what]))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
