@@ -118,6 +118,105 @@ def test_whole_score_by_hand(spark):
     assert exact > 100
 
 
+def test_every_tree_bit_is_learned_in_one_batch():
+    n = np.random.default_rng(64).integers(0, 3 * mixing.BATCHES, (8, 50)).astype(float) * (np.random.default_rng(65).random((8, 50)) < 0.7)
+    often, shift, few, ends = mixing.dealt_bits(n, 5)
+    got, size = np.zeros(n.size), []
+    for b in range(mixing.BATCHES):
+        part = np.zeros(n.size)
+        part[often] += n.ravel()[often] // mixing.BATCHES + ((b + shift) % mixing.BATCHES < n.ravel()[often] % mixing.BATCHES)
+        part[few[ends[b] : ends[b + 1]]] += n.ravel()[few[ends[b] : ends[b + 1]]]
+        got, size = got + part, [*size, part.sum()]
+    assert (got == n.ravel()).all() and max(size) < 1.3 * min(size)
+
+
+def test_tree_mixes_online_as_by_hand():
+    """Four contexts of every bit, weights that take a step after each batch, the map: bit by bit."""
+    rng = np.random.default_rng(66)
+    counts = np.floor(rng.gamma(0.4, 60, (2 * mixing.AFTER, 8))) * (rng.random((2 * mixing.AFTER, 8)) < 0.8)
+    levels, cells = 3, mixing.TREE_MAP
+    seen = {(r, lv, v, y): counts[r].reshape(-1, 8 >> lv + 1)[2 * v + y].sum() for r in range(len(counts)) for lv in range(levels) for v in range(1 << lv) for y in (0, 1)}
+    alike = lambda r: (range(len(counts)), [k for k in range(len(counts)) if k // mixing.AFTER == r // mixing.AFTER], [k for k in range(len(counts)) if k % mixing.AFTER == r % mixing.AFTER], [r])
+    share = np.linspace(0.0, 0.8, mixing.GATES)
+    weights, refined = [np.array([0.4 * (1 - s), 0.4 * (1 - s), 0.2 * (1 - s), s]) for s in share], Counter()
+    curve = [np.zeros((4, 4)) for _ in share]
+
+    def predict(r, lv, v, y=None):
+        n = [[sum(seen[k, lv, v, bit] for k in rows) - (bit == y) for bit in (0, 1)] for rows in alike(r)]
+        x, gate = np.array([math.log((b + 0.05) / (a + 0.05)) for a, b in n]), min(int(math.log2(sum(n[-1]) + 1)), mixing.GATES - 1)
+        t = min(max(float(weights[gate] @ x), -14), 14)
+        at = (t + 14) * (cells - 1) / 28
+        cell = min(int(at), cells - 2)
+        return x, gate, 1 / (1 + math.exp(-t)), cell, at - cell
+
+    dealt = {}
+    for lv in range(levels):
+        for y in (0, 1):
+            n = np.array([[seen[r, lv, v, y] for v in range(1 << lv)] for r in range(len(counts))])
+            often, shift, few, ends = mixing.dealt_bits(n, 2 * lv + y)
+            for at, by in zip(often.tolist(), shift.tolist(), strict=True):
+                for b in range(mixing.BATCHES):
+                    dealt[b, at >> lv, lv, at & (1 << lv) - 1, y] = n.ravel()[at] // mixing.BATCHES + ((b + by) % mixing.BATCHES < n.ravel()[at] % mixing.BATCHES)
+            for b in range(mixing.BATCHES):
+                for at in few[ends[b] : ends[b + 1]].tolist():
+                    dealt[b, at >> lv, lv, at & (1 << lv) - 1, y] = n.ravel()[at]
+    for b in range(mixing.BATCHES):
+        slope = [np.zeros(4) for _ in share]
+        for (batch, r, lv, v, y), times in dealt.items():
+            if batch == b:
+                x, gate, p, cell, beyond = predict(r, lv, v, y)
+                slope[gate] += (y - p) * times * x
+                curve[gate] += p * (1 - p) * times * np.outer(x, x)
+                refined[gate, cell, y] += times * (1 - beyond)
+                refined[gate, cell + 1, y] += times * beyond
+        for g in range(mixing.GATES):
+            step = np.linalg.solve(curve[g] + 1e-3 * (1 + np.trace(curve[g])) * np.eye(4), slope[g])
+            weights[g] = np.clip(weights[g] + np.clip(step, -0.5, 0.5), -0.5, 2.0)
+    got = mixing.tree_costs(counts)
+    for r in range(len(counts)):
+        for place in range(8):
+            bits = 0.0
+            for lv in range(levels):
+                v, y = place >> levels - lv, place >> levels - lv - 1 & 1
+                _, gate, p, cell, beyond = predict(r, lv, v)
+                n0, n1 = (refined[gate, cell, bit] * (1 - beyond) + refined[gate, cell + 1, bit] * beyond for bit in (0, 1))
+                p = (p + (n1 + 4 * p) / (n0 + n1 + 4)) / 2
+                bits -= math.log2(p if y else 1 - p)
+            assert math.isclose(got[r, place], bits, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_words_are_predicted_by_the_word_before(spark):
+    """Texts in which every word fixes the next one but for its class: the tree's bits must use the word before. Rows by hand."""
+    rng = random.Random(67)
+    heads = [f"w{i}".encode() for i in range(40)]
+    logp = np.zeros((mixing.CLASSES, 42), np.float32)
+    logp[:, 2:] = np.random.default_rng(68).normal(0, 0.1, (mixing.CLASSES, 40))
+    h = mixing.Head(heads, logp)
+    assert not h.after[:2].any() and set(h.after[2:].tolist()) == set(range(1, mixing.AFTER)) and not mixing.Head(heads, 0 * logp).after.any()
+    follows = {c: [i for i in range(40) if i % mixing.AFTER == c] for c in range(mixing.AFTER)}
+    texts = []
+    for _ in range(60):
+        text = [rng.randrange(40)]
+        while len(text) < 80:
+            text.append(rng.choice(follows[int(h.after[text[-1] + 2])]))
+        texts.append(" ".join(f"w{i}" for i in text))
+    _, cells = mixing.followed(spark.createDataFrame([(i, True, t) for i, t in enumerate(texts)], "k long, train boolean, text string"), mixing.Shared(spark, "head", (heads, logp)), 64)
+    want, counts = Counter(), np.zeros((mixing.CLASSES * mixing.AFTER, 64))
+    for t in texts:
+        sums, before = np.zeros(mixing.CLASSES, np.float32), 0
+        for w in [*t.split(), None]:
+            place = 0 if w is None else int(w[1:]) + 2
+            want[(int(sums.argmax()) * mixing.AFTER + before) * 64 + place] += 1
+            sums, before = sums + logp[:, place], int(h.after[place])
+    got = {r.cell: r.n for r in cells.collect()}
+    assert got == want
+    for cell, n in got.items():
+        counts.ravel()[cell] = n
+    bits = mixing.tree_costs(counts)
+    # 40 words are over five bits each; the word before leaves five of them.
+    assert (bits * counts).sum() / counts.sum() < 3.5
+
+
 def test_flags_are_bits_of_probabilities(spark):
     rows = [(1, True, 0, r % 12, r % 3 == 0, r % mixing.SURE) for r in range(500)]
     bits = mixing.flag_costs(spark.createDataFrame(rows, "k long, train boolean, at int, right int, wrong boolean, sure int"))
